@@ -400,7 +400,7 @@ def flag_faulty_fixes(
     place = F.floor(F.coalesce(column(order), F.lit(0)) / F.lit(block)).cast("int")
     within = F.pmod(F.coalesce(column(order), F.lit(0)), F.lit(block))
     blocks: Column = F.array_compact(
-        F.array(place, F.when(within < halo, place - 1), F.when(within >= block - halo, place + 1))
+        F.array(place, F.when((within < halo) & (place > 0), place - 1), F.when(within >= block - halo, place + 1))
     )
     rows = fixes.select(
         column(source).cast("string").alias("recorder"),
