@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from screeline.llm import sql
+from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
 from screeline.llm.splits import assign_splits, related_groups, route_keys
+from screeline.llm.vectors import route_vectors
 from screeline.operators.latest import latest_rows
 from screeline.session import table
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 QUERIES: dict = {}
 ORACLES: dict[str, str] = sql.ORACLES
 
+CLUSTERING = {"radius": 1.5, "dims": 11, "stepped": 5, "least": 5}
 SCORES = ["provisional_score", "yds_encoded", "gpx_gain_ft", "crux_density_medium"]
 
 
@@ -20,6 +23,19 @@ def query(function):
     return function
 
 
+@query
+def p2_found(spark, folder):
+    members, _ = grid_clusters(route_vectors(table(spark, folder, "route_features_full")), "route_id", "x", **CLUSTERING)
+    return members.filter("route_id <> head").select(F.col("head").alias("head_route_id"), "route_id")
+
+
+@query
+def p2_clusters(spark, folder):
+    members, cells = grid_clusters(route_vectors(table(spark, folder, "route_features_full")), "route_id", "x", **CLUSTERING)
+    report = cluster_report(members, cells, "route_id")
+    return report.select(F.col("head").alias("head_route_id"), "size", "cells", "densest", F.concat_ws("|", "typical").alias("typical"))
+
+
 def _scored(spark, folder):
     return latest_rows(table(spark, folder, "route_features_full"), "route_id", "exported_at", SCORES)
 
