@@ -5,6 +5,7 @@ from __future__ import annotations
 from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
+from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
 from screeline.llm.splits import assign_splits, related_groups, route_keys
 from screeline.llm.vectors import route_vectors
 from screeline.operators.latest import latest_rows
@@ -67,3 +68,19 @@ def p5_found(spark, folder):
 @query
 def p5_splits(spark, folder):
     return assign_splits(_related(spark, folder), "route_id", {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+def _neighbours(spark, folder):
+    return nearest_neighbours(route_vectors(table(spark, folder, "route_features_full")), "route_id", "x", dims=11, k=10)
+
+
+@query
+def p6_found(spark, folder):
+    pairs = mutual_pairs(_neighbours(spark, folder), "route_id", 0.05)
+    return pairs.select(F.col("a").alias("route_a"), F.col("b").alias("route_b"))
+
+
+@query
+def p6_neighbours(spark, folder):
+    near = _neighbours(spark, folder).select("route_id", F.posexplode("neighbours").alias("place", "n"))
+    return near.select("route_id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("neighbour"), F.round("n.d", 9).alias("distance"))
