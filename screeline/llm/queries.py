@@ -6,10 +6,13 @@ from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
+from screeline.llm.pairwise import counted_votes, pairwise_strengths
 from screeline.llm.splits import assign_splits, related_groups, route_keys
 from screeline.llm.vectors import route_vectors
 from screeline.operators.latest import latest_rows
+from screeline.operators.ranking import global_rank
 from screeline.session import table
+from screeline.staging import Staging
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -84,3 +87,31 @@ def p6_found(spark, folder):
 def p6_neighbours(spark, folder):
     near = _neighbours(spark, folder).select("route_id", F.posexplode("neighbours").alias("place", "n"))
     return near.select("route_id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("neighbour"), F.round("n.d", 9).alias("distance"))
+
+
+def _strengths(spark, folder):
+    votes = table(spark, folder, "vote_events")
+    outcome = F.upper(F.trim("outcome"))
+    counted = votes.filter(outcome.isin("A", "B") & (F.col("completed_both") == 1) & (F.col("conditions") == "dry_summer") & (F.col("lane") == "training"))
+    return pairwise_strengths(counted_votes(counted, "voter", "route_a", "route_b", outcome == "A", "received", "seq"))
+
+
+@query
+def p4_found(spark, folder):
+    strengths = _strengths(spark, folder)
+    known = table(spark, folder, "route_manifest").select(F.col("route_id").alias("item")).distinct()
+    best = strengths.join(known, "item", "left_semi").agg(F.max("strength")).collect()[0][0]
+    rivals = strengths.join(known, "item", "left_anti").filter(F.col("votes") >= 20)
+    if best is not None:
+        rivals = rivals.filter(F.col("strength") > best)
+    return rivals.select(F.col("item").alias("route_id"))
+
+
+@query
+def p4_ranking(spark, folder):
+    strengths = _strengths(spark, folder)
+    long = strengths.withColumn("_all", F.lit(0))
+    ranked = global_rank(long, "item", "_all", "strength", Staging(spark, "pairwise"), "position")
+    stored = table(spark, folder, "elo").select(F.col("route_id").alias("item"), F.col("rating").alias("stored_rating"))
+    ranked = ranked.join(stored, "item", "left")
+    return ranked.select(F.col("item").alias("route_id"), "strength", "votes", "wins", "cyclic", F.col("rank").alias("position"), "stored_rating")
