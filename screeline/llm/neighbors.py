@@ -126,9 +126,11 @@ def nearest_neighbours(
     points = items.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     points = staging.put("points", points)
     total = points.count()
-    some = points.select("x").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["x"]
     if not total:
         return spark.createDataFrame([], f"`{item}` string, neighbours array<struct<d:double,id:string>>")
+    # about twice the sample is asked for, so that no task sends more than its part of that
+    drawn = points.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(2_000_000 * sample / total))
+    some = drawn.select("x").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["x"]
     nodes = kd_tree(np.array(some.tolist()), max(shards, math.ceil(total / shard_rows)))
     leaves = sum(a < 0 for a, *_ in nodes)
 
