@@ -5,6 +5,7 @@ from __future__ import annotations
 from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
+from screeline.llm.leakage import find_leaks
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
 from screeline.llm.pairwise import counted_votes, pairwise_strengths
 from screeline.llm.splits import assign_splits, related_groups, route_keys
@@ -115,3 +116,19 @@ def p4_ranking(spark, folder):
     stored = table(spark, folder, "elo").select(F.col("route_id").alias("item"), F.col("rating").alias("stored_rating"))
     ranked = ranked.join(stored, "item", "left")
     return ranked.select(F.col("item").alias("route_id"), "strength", "votes", "wins", "cyclic", F.col("rank").alias("position"), "stored_rating")
+
+
+def _leaks(spark, folder):
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+
+
+@query
+def p7_found(spark, folder):
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark, folder):
+    """Each item that leaked, with the documents that hold it."""
+    found = _leaks(spark, folder)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"), F.min("doc_id").alias("first_doc_id"))
