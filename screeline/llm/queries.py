@@ -8,6 +8,7 @@ from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
 from screeline.llm.leakage import find_leaks
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
 from screeline.llm.pairwise import counted_votes, pairwise_strengths
+from screeline.llm.residue import find_residue, validate
 from screeline.llm.splits import assign_splits, related_groups, route_keys
 from screeline.llm.vectors import route_vectors
 from screeline.operators.latest import latest_rows
@@ -132,3 +133,13 @@ def p7_items(spark, folder):
     """Each item that leaked, with the documents that hold it."""
     found = _leaks(spark, folder)
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"), F.min("doc_id").alias("first_doc_id"))
+
+
+@query
+def p9_found(spark, folder):
+    return find_residue(table(spark, folder, "documents")).select("doc_id")
+
+
+@query
+def p9_validation(spark, folder):
+    return validate(table(spark, folder, "documents"))
