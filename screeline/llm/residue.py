@@ -87,7 +87,7 @@ RESIDUE = _any(NOTICE_PHRASES + ERROR_PHRASES + FILLER_PHRASES)
 
 def describe(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds to the documents what labels, features and the check are made of."""
-    d = documents.withColumn("_t", decoded(F.col(f"`{text}`")))
+    d = documents.withColumn("_t", decoded(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     d = d.withColumn("_low", F.lower(F.trim(F.regexp_replace("_t", r"\s+", " "))))
     d = d.withColumn("_words", F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
     d = d.withColumn("_n", F.size("_words"))
@@ -144,7 +144,8 @@ def features() -> Column:
     varied = F.concat(F.lit("v:"), F.floor(F.col("_distinct") * 8).cast("string"))
     title = F.concat(F.lit("t:"), F.least(F.size(F.split(first, r"\s+")), F.lit(8)).cast("string"), F.when(first.rlike(r"[.!?:]\s*$"), ".").otherwise(""))
     latin = F.concat(F.lit("l:"), F.floor(F.col("_latin") * 4).cast("string"))
-    return F.array_distinct(F.concat(words, pairs, shapes, inner, F.array(size, varied, title, latin)))
+    terms = F.array_distinct(F.concat(words, pairs, shapes, inner, F.array(size, varied, title, latin)))
+    return F.coalesce(terms, F.array().cast("array<string>"))
 
 
 def hashed(terms: DataFrame) -> DataFrame:
