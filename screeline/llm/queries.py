@@ -6,6 +6,7 @@ from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
 from screeline.llm.leakage import find_leaks
+from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
 from screeline.llm.pairwise import counted_votes, pairwise_strengths
 from screeline.llm.residue import find_residue, validate
@@ -143,3 +144,23 @@ def p9_found(spark, folder):
 @query
 def p9_validation(spark, folder):
     return validate(table(spark, folder, "documents"))
+
+
+def _plan(spark, folder):
+    return mixture_plan(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+@query
+def p8_found(spark, folder):
+    _, plan = _plan(spark, folder)
+    return plan_report(spark, plan).filter("not reachable").select("source")
+
+
+@query
+def p8_mixture(spark, folder):
+    return draw(*_plan(spark, folder)).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def p8_report(spark, folder):
+    return drawn_report(*_plan(spark, folder))

@@ -13,7 +13,15 @@ ranked AS (
   SELECT route_id, series, rank() OVER (PARTITION BY series ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY series) AS n
   FROM long WHERE v IS NOT NULL)"""
 
+# words and signs for tokens: any usual tokenizer gives the same answer
+_TOKENS = """sized AS (
+  SELECT regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') AS source, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]')) AS tokens
+  FROM documents)"""
+
 ORACLES = {
+    "p8_found": f"""WITH {_TOKENS}, have AS (SELECT source, sum(tokens) AS tokens FROM sized GROUP BY source)
+SELECT t.source FROM mix_target t LEFT JOIN have h ON h.source = t.source
+WHERE coalesce(h.tokens, 0) * t.max_repeats < t.target_share * (SELECT sum(tokens) FROM sized)""",
     "p3_found": f"""WITH {_SCORED}
 SELECT route_id FROM ranked GROUP BY route_id HAVING count(*) >= 3 AND max((r - 1)::DOUBLE / n) < 0.1""",
     "p3_ranking": f"""WITH {_SCORED},
