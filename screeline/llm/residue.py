@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screeline.staging import Staging
+
 # fixed values: fields that a template engine or an editor should have filled
 FIELD_PATTERNS = [
     r"\{\{\s*\w{2,}(\.\w+)*\s*\}\}",
@@ -148,35 +150,38 @@ def features() -> Column:
     return F.coalesce(terms, F.array().cast("array<string>"))
 
 
-def hashed(terms: DataFrame) -> DataFrame:
-    """Adds the hashed terms, each present or not."""
-    return HashingTF(numFeatures=1 << 18, binary=True, inputCol="_terms", outputCol="_features").transform(terms)
+def prepare(documents: DataFrame, doc_id: str, text: str, host: str, staging: Staging) -> DataFrame:
+    """All that labels, classifier and check need of each document with a text, written once:
+    doc, n (words), field, only (nothing but residue), label, fold and the hashed features.
+
+    The fold is a number in [0, 1) of the host, or of the row where the host is null.
+    """
+    narrow = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").cast("string").alias("host"))
+    narrow = narrow.filter(F.length(F.trim("text")) > 0)
+    d = describe(narrow).withColumn("_terms", features()).withColumn("_only", _only_residue())
+    owner = F.coalesce("host", F.concat(F.lit("row "), F.col("doc").cast("string")))
+    fold = F.pmod(F.xxhash64(F.lit("host"), owner), F.lit(1000)) / 1000
+    d = d.select("doc", F.col("_n").alias("n"), F.col("_field").alias("field"), F.col("_only").alias("only"), weak_label().alias("label"), fold.alias("fold"), "_terms")
+    hashed = HashingTF(numFeatures=1 << 18, binary=True, inputCol="_terms", outputCol="features").transform(d)
+    return staging.put("prepared", hashed.drop("_terms"))
 
 
-def fit(documents: DataFrame, *, doc_id: str, host: str, sample: int = 20_000, regularisation: float = 1e-4, rounds: int = 30, held_out: float = 0.2) -> LogisticRegressionModel | None:
+def fit(prepared: DataFrame, *, sample: int = 20_000, regularisation: float = 1e-4, rounds: int = 30, held_out: float = 0.2) -> LogisticRegressionModel | None:
     """The classifier fitted on at most about ``sample`` rows of either weak label, of the hosts
-    (a hash of ``host``, or of the row where it is null) that aren't held out for validation."""
-    labelled = described_and_labelled(documents, doc_id, host).filter(F.col("_fold") >= held_out)
-    counts = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}  # two rows
+    that aren't held out for validation; None where there is but one label."""
+    labelled = prepared.filter((F.col("fold") >= held_out) & F.col("label").isNotNull())
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
     if len(counts) < 2:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("draw"), doc_id), F.lit(1_000_000)) / 1_000_000
-    share = F.when(F.col("_label") == 1.0, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
-    drawn = labelled.filter(draw < share).select("_label", features().alias("_terms"))
-    return LogisticRegression(featuresCol="_features", labelCol="_label", regParam=regularisation, maxIter=rounds, aggregationDepth=2).fit(hashed(drawn))
-
-
-def described_and_labelled(documents: DataFrame, doc_id: str, host: str) -> DataFrame:
-    """The rows with a weak label, and the number in [0, 1) of their host."""
-    d = describe(documents).withColumn("_label", weak_label()).filter("_label is not null")
-    owner = F.coalesce(F.col(f"`{host}`").cast("string"), F.concat(F.lit("row "), F.col(f"`{doc_id}`").cast("string")))
-    return d.withColumn("_fold", F.pmod(F.xxhash64(F.lit("host"), owner), F.lit(1000)) / 1000)
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc"), F.lit(1_000_000)) / 1_000_000
+    share = F.when(F.col("label") == 1.0, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
+    drawn = labelled.filter(draw < share).select("label", "features")
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=regularisation, maxIter=rounds, aggregationDepth=2).fit(drawn)
 
 
-def scored(described: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+def scored(prepared: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     """Adds ``residue``, the classifier's probability."""
-    scored = model.transform(hashed(described.withColumn("_terms", features())))
-    return scored.withColumn("residue", vector_to_array("probability")[1]).drop("_terms", "_features", "rawPrediction", "probability", "prediction")
+    return model.transform(prepared).withColumn("residue", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", suspect: float = 0.05, sure: float = 0.9, short: int = 40) -> DataFrame:
@@ -188,21 +193,21 @@ def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Null texts are no cases, nor are empty ones; an empty table, or one whose weak labels are all
     alike, gives an empty result.  Columns other than the named ones are ignored.
     """
-    narrow = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host")).filter(F.length(F.trim("text")) > 0)
-    model = fit(narrow, doc_id="doc", host="host")
+    prepared = prepare(documents, doc_id, text, host, Staging(documents.sparkSession, "residue"))
+    model = fit(prepared)
     if model is None:
-        return documents.sparkSession.createDataFrame([], f"`{doc_id}` long, residue double, field boolean")
-    found = scored(describe(narrow), model).filter(F.col("residue") >= suspect)
-    found = found.filter(F.col("_field") | _only_residue() | ((F.col("residue") >= sure) & (F.col("_n") <= short)))
-    return found.select(F.col("doc").alias(doc_id), F.round("residue", 6).alias("residue"), F.col("_field").alias("field"))
+        return prepared.limit(0).select(F.col("doc").alias(doc_id), F.lit(0.0).alias("residue"), "field")
+    found = scored(prepared, model).filter(F.col("residue") >= suspect)
+    found = found.filter(F.col("field") | F.col("only") | ((F.col("residue") >= sure) & (F.col("n") <= short)))
+    return found.select(F.col("doc").alias(doc_id), F.round("residue", 6).alias("residue"), "field")
 
 
 def validate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", held_out: float = 0.2) -> DataFrame:
     """(label, rows, agreed): on rows of unseen hosts, how many the classifier puts on the side
     of their weak label."""
-    narrow = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("host")).filter(F.length(F.trim("text")) > 0)
-    model = fit(narrow, doc_id="doc", host="host", held_out=held_out)
+    prepared = prepare(documents, doc_id, text, host, Staging(documents.sparkSession, "residue"))
+    model = fit(prepared, held_out=held_out)
     if model is None:
         return documents.sparkSession.createDataFrame([], "label int, rows long, agreed long")
-    unseen = scored(described_and_labelled(narrow, "doc", "host").filter(F.col("_fold") < held_out), model)
-    return unseen.groupBy(F.col("_label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("residue") >= 0.5) == (F.col("_label") == 1)).alias("agreed"))
+    unseen = scored(prepared.filter((F.col("fold") < held_out) & F.col("label").isNotNull()), model)
+    return unseen.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("residue") >= 0.5) == (F.col("label") == 1)).alias("agreed"))
