@@ -88,7 +88,7 @@ def page_fields(spark, folder):
 _LEVELS = "list_position(['low', 'moderate', 'considerable', 'high', 'extreme'], lower(trim({})))"
 
 
-@query("encoded_labels", f"WITH {_FEATURES} SELECT route_id, CASE yds_class WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 WHEN 3 THEN 4.0 WHEN 4 THEN 8.0 WHEN 5 THEN 16.0 END AS weight, {', '.join(f'({_LEVELS.format(c)} - 1)::INT AS {c}' for c in ('exposure', 'rockfall', 'route_finding', 'commitment'))} FROM features")
+@query("encoded_labels", f"WITH {_FEATURES} SELECT route_id, CASE yds_class WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 WHEN 3 THEN 4.0 WHEN 4 THEN 8.0 WHEN 5 THEN 16.0 END::DOUBLE AS weight, {', '.join(f'({_LEVELS.format(c)} - 1)::INT AS {c}' for c in ('exposure', 'rockfall', 'route_finding', 'commitment'))} FROM features")
 def encoded_labels(spark, folder):
     f = features(spark, folder)
     return f.select("route_id", tx.class_weight(F.col("yds_class")).alias("weight"), *[tx.risk_level(F.col(c)).alias(c) for c in ("exposure", "rockfall", "route_finding", "commitment")])
@@ -112,7 +112,7 @@ def match_by_name(spark, folder):
     f"""WITH {_STATUS}, {_TITLES}, asked AS (SELECT route_id, {_norm('canonical_name')} AS q FROM status WHERE source_url IS NULL AND canonical_name IS NOT NULL),
 rated AS (SELECT route_id, entry, 1 - levenshtein(q, name)::DOUBLE / greatest(length(q), length(name), 1) AS ratio FROM asked, titles),
 placed AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY ratio DESC, entry) AS place FROM rated)
-SELECT route_id, place, entry, round(ratio, 6) AS ratio FROM placed WHERE place <= 5""",
+SELECT route_id, place::INT AS place, entry, round(ratio, 6) AS ratio FROM placed WHERE place <= 5""",
 )
 def nearest_names(spark, folder):
     """For the routes without an address: the five most similar names of the manifest."""

@@ -37,18 +37,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _clear(spark: SparkSession, path: str) -> None:
+    """Deletes a folder at the end of the program, if the session still can."""
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
 class Staging:
     """Staged tables of one operator call.
 
     ``put`` writes a table once and reads it back; ``drop`` deletes one that no later
-    step needs.  Tables that the lazy result still reads stay until the session's
-    folder is cleared.
+    step needs.  Tables that the lazy result still reads stay until the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/screeline/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        atexit.register(_clear, spark, self.root)
 
     def put(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
