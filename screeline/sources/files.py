@@ -13,7 +13,7 @@ _POINT = "array<struct<_lat:double,_lon:double,ele:double>>"
 def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV file with a header, all columns strings; blanks stay blanks, no type is guessed."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path).fillna("")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
