@@ -19,7 +19,7 @@ from screeline.staging import Staging
 
 # fixed values: fields that a template engine or an editor should have filled
 FIELD_PATTERNS = [
-    r"\{\{\s*\w{2,}(\.\w+)*\s*\}\}",
+    r"\{\{\s*\w+(\.\w+)*\s*\}\}",
     r"\{%-?\s*\w+[^%}]{0,60}-?%\}",
     r"<%=?\s*\w[^%>]{0,60}%>",
     r"[$#]\{\s*\w{2,}(\.\w+)*\s*\}",
