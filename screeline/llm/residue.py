@@ -141,12 +141,13 @@ def features() -> Column:
     signs = F.regexp_extract_all(shaped, F.lit(r"\S*[{}\[\]<>@#$%«»_|=][^\s]*(?: [wa][^\s]*)?"), F.lit(0))
     shapes = F.transform(signs, lambda s: F.concat(F.lit("s:"), s))
     inner = F.transform(F.regexp_extract_all(shaped, F.lit(r"[{\[<@#$%«_(]{1,3}=? ?[wa9][_. ]?|[wa9][_. ]?[}\]>@$%»_)]{1,3}:?"), F.lit(0)), lambda s: F.concat(F.lit("i:"), s))
+    marks = F.transform(F.regexp_extract_all(shaped, F.lit(r"[{}\[\]<>@#$%«»_|=]+(?:w(?:[_. ]w)*)?[{}\[\]<>@#$%«»_|=]*"), F.lit(0)), lambda s: F.concat(F.lit("m:"), F.regexp_replace(s, "([_. ]w)+", "+")))
     first = F.element_at(F.split("_t", r"\r?\n"), 1)
     size = F.concat(F.lit("n:"), F.floor(F.log2(F.col("_n") + 1)).cast("string"))
     varied = F.concat(F.lit("v:"), F.floor(F.col("_distinct") * 8).cast("string"))
     title = F.concat(F.lit("t:"), F.least(F.size(F.split(first, r"\s+")), F.lit(8)).cast("string"), F.when(first.rlike(r"[.!?:]\s*$"), ".").otherwise(""))
     latin = F.concat(F.lit("l:"), F.floor(F.col("_latin") * 4).cast("string"))
-    terms = F.array_distinct(F.concat(words, pairs, shapes, inner, F.array(size, varied, title, latin)))
+    terms = F.array_distinct(F.concat(words, pairs, shapes, inner, marks, F.array(size, varied, title, latin)))
     return F.coalesce(terms, F.array().cast("array<string>"))
 
 
@@ -184,7 +185,7 @@ def scored(prepared: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     return model.transform(prepared).withColumn("residue", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", suspect: float = 0.05, sure: float = 0.9, short: int = 40) -> DataFrame:
+def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", suspect: float = 0.01, sure: float = 0.9, short: int = 40) -> DataFrame:
     """(doc_id, residue, field): the documents to exclude, with the classifier's probability and
     whether they hold an unfilled field.
 
