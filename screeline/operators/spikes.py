@@ -61,10 +61,10 @@ class ChartSettings:
     scales from which a reading is outside, and the readings outside that restart a chart."""
 
     level: float = 0.4
-    trend: float = 0.12
+    trend: float = 0.2
     scale: float = 0.05
-    clip: float = 3.0
-    outside: float = 2.0
+    clip: float = 1.5
+    outside: float = 1.5
     restart_after: int = 6
     slab_rows: int = 60_000
 
@@ -292,6 +292,9 @@ def _slab(t: pa.Table, limits: SpikeLimits, how: ChartSettings) -> pa.Table:
         begins = np.zeros(len(rows), bool)
         begins[start] = True
         suspects = np.flatnonzero(chart(values, start, length, how, least))
+        # an excursion of which one reading is suspected is measured as a whole
+        reach = np.arange(1 - limits.longest_excursion, limits.longest_excursion)
+        suspects = np.unique(np.clip(suspects[:, None] + reach, 0, len(rows) - 1))
         off[rows[suspects]] = excursions(values, g, suspects, limits.longest_excursion, least)
         for c in range(values.shape[1]):
             mid, bend = _bends(values[:, c], begins)
