@@ -33,7 +33,6 @@ FIELD_PATTERNS = [
     r"\[\s*insert\s[^\]\[]{1,60}\shere\s*\]",
     r"\[\s*[^\]\[]{1,60}\sgoes\s+here\s*\]",
     r"\[\s*your\s[^\]\[]{1,60}\shere\s*\]",
-    r"\(\s*(?:add|insert|enter|put|your)\s[^()]{1,60}\shere\s*\)",
     r"<\s*your\s[^<>]{1,60}>",
     r"«[^«»]{1,60}»\s*:\s*to\s+be\s+filled\s+in",
 ]
@@ -66,16 +65,23 @@ LATIN = set(
 )
 
 
+#: Signs without which a text can hold no field but one in round brackets.
+SIGNS = r"[{}\[\]<>@#$%«»_|=]"
+ROUND_FIELD = r"(?i)\(\s*(?:add|insert|enter|put|your)\s[^()]{1,60}\shere\s*\)"
+
+
 def decoded(text: Column) -> Column:
     """The text with its common entities decoded."""
+    plain = text
     for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&"), plain).otherwise(text)
 
 
 def has_field(text: Column) -> Column:
     """Whether a decoded text holds an unfilled field."""
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FIELD_PATTERNS)) | text.rlike(CAPITAL_FIELD)
+    signed = text.rlike(SIGNS) & (text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FIELD_PATTERNS)) | text.rlike(CAPITAL_FIELD))
+    return signed | (text.contains("(") & text.rlike(ROUND_FIELD))
 
 
 def _any(phrases: list[str]) -> str:
@@ -84,11 +90,18 @@ def _any(phrases: list[str]) -> str:
     return "|".join(re.escape(p).replace("\\#", "#").replace("#", r"[0-9a-f]+") for p in phrases)
 
 
-RESIDUE = _any(NOTICE_PHRASES + ERROR_PHRASES + FILLER_PHRASES)
+def has_phrase(low: Column) -> Column:
+    """Whether a text in lower case holds a phrase of residue."""
+    held = F.lit(False)
+    for phrase in NOTICE_PHRASES + ERROR_PHRASES + FILLER_PHRASES:
+        held = held | low.contains(phrase)
+    return held
 
 
 def describe(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds to the documents what labels, features and the check are made of."""
+    """Adds to the documents what labels, features and the check are made of: the decoded text
+    _t, in lower case _low, its _words, their number _n, the shares of _distinct and mock _latin
+    ones, and whether it holds a _phrase or _field and _only residue."""
     d = documents.withColumn("_t", decoded(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     d = d.withColumn("_low", F.lower(F.trim(F.regexp_replace("_t", r"\s+", " "))))
     d = d.withColumn("_words", F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
@@ -96,7 +109,10 @@ def describe(documents: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_distinct", F.size(F.array_distinct("_words")) / F.greatest("_n", F.lit(1)))
     latin = F.size(F.filter("_words", lambda w: w.isin(*sorted(LATIN))))
     d = d.withColumn("_latin", latin / F.greatest("_n", F.lit(1)))
-    return d.withColumn("_field", has_field(F.col("_t")))
+    d = d.withColumn("_phrase", has_phrase(F.col("_low"))).withColumn("_field", has_field(F.col("_t")))
+    # without a phrase and in varied words of a living language something is said
+    may = F.col("_phrase") | (F.col("_latin") > 0.3) | (F.col("_distinct") < 0.55) | (F.col("_n") < 12)
+    return d.withColumn("_only", F.when(may, _only_residue()).otherwise(F.lit(False)))
 
 
 def _only_residue() -> Column:
@@ -112,25 +128,25 @@ def _only_residue() -> Column:
         words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
         latin = F.size(F.filter(words, lambda w: w.isin(*sorted(LATIN))))
         varied = F.size(F.array_distinct(words)) * 2 > F.size(words)
-        return (F.size(words) >= 4) & ~low.rlike(RESIDUE) & ~low.rlike(_any(FOOT_PHRASES)) & (latin * 2 < F.size(words)) & varied
+        return (F.size(words) >= 4) & ~has_phrase(low) & ~low.rlike(_any(FOOT_PHRASES)) & (latin * 2 < F.size(words)) & varied
 
     return ~F.exists(sentences, says)
 
 
 def weak_label() -> Column:
     """1 residue, 0 content, null where the phrases don't tell."""
-    phrase = F.col("_low").rlike(RESIDUE)
     filler = ((F.col("_latin") > 0.6) | (F.col("_distinct") < 0.3)) & (F.col("_n").between(6, 150))
-    sure = F.col("_field") | (phrase & (F.col("_n") <= 40) & _only_residue()) | filler
-    open_ = phrase | F.col("_low").rlike(r"\b(javascript|cookies|browser|404|50[0-4]|tbd)\b|[{}\[\]<>@#$%«»]|__")
+    sure = F.col("_field") | (F.col("_phrase") & (F.col("_n") <= 40) & F.col("_only")) | filler
+    # signs without a known field are content where there is text enough around them
+    open_ = F.col("_phrase") | (F.col("_low").rlike(SIGNS) & (F.col("_n") < 12)) | F.col("_low").rlike(r"\b(javascript|cookies|browser|404|50[0-4])\b")
     return F.when(sure, 1.0).when((F.col("_n") >= 3) & ~open_, 0.0)
 
 
 def features() -> Column:
-    """The terms to hash: words and word pairs, shapes and shape pairs, length and title.
+    """The terms to hash: words and word pairs, shapes and marks, length and title.
 
     A shape keeps the signs of a token and writes a for one letter, w for more, 9 for digits;
-    only tokens with signs inside words of text have telling shapes, and only these are kept.
+    only texts with signs have any.
     """
     words = F.transform("_words", lambda w: F.concat(F.lit("w:"), w))
     pairs = F.when(
@@ -138,16 +154,17 @@ def features() -> Column:
         F.zip_with(F.slice("_words", 1, F.greatest(F.col("_n") - 1, F.lit(1))), F.slice("_words", 2, F.greatest(F.col("_n") - 1, F.lit(1))), lambda a, b: F.concat(F.lit("p:"), a, F.lit(" "), b)),
     ).otherwise(F.array().cast("array<string>"))
     shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("_low", r"\p{N}+", "9"), r"\p{L}{2,}", "w"), r"(?<!\p{L})\p{L}(?!\p{L})", "a")
-    signs = F.regexp_extract_all(shaped, F.lit(r"\S*[{}\[\]<>@#$%«»_|=][^\s]*(?: [wa][^\s]*)?"), F.lit(0))
-    shapes = F.transform(signs, lambda s: F.concat(F.lit("s:"), s))
-    inner = F.transform(F.regexp_extract_all(shaped, F.lit(r"[{\[<@#$%«_(]{1,3}=? ?[wa9][_. ]?|[wa9][_. ]?[}\]>@$%»_)]{1,3}:?"), F.lit(0)), lambda s: F.concat(F.lit("i:"), s))
-    marks = F.transform(F.regexp_extract_all(shaped, F.lit(r"[{}\[\]<>@#$%«»_|=]+(?:w(?:[_. ]w)*)?[{}\[\]<>@#$%«»_|=]*"), F.lit(0)), lambda s: F.concat(F.lit("m:"), F.regexp_replace(s, "([_. ]w)+", "+")))
-    first = F.element_at(F.split("_t", r"\r?\n"), 1)
+    found = lambda mark, pattern: F.transform(F.regexp_extract_all(shaped, F.lit(pattern), F.lit(0)), lambda s: F.concat(F.lit(mark), s))
+    shapes = found("s:", r"\S*[{}\[\]<>@#$%«»_|=][^\s]*(?: [wa][^\s]*)?")
+    inner = found("i:", r"[{\[<@#$%«_(]{1,3}=? ?[wa9][_. ]?|[wa9][_. ]?[}\]>@$%»_)]{1,3}:?")
+    marks = F.transform(found("m:", r"[{}\[\]<>@#$%«»_|=]+(?:w(?:[_. ]w)*)?[{}\[\]<>@#$%«»_|=]*"), lambda s: F.regexp_replace(s, "([_. ]w)+", "+"))
+    signed = F.when(F.col("_low").rlike(r"[{}\[\]<>@#$%«»_|=(]"), F.concat(shapes, inner, marks)).otherwise(F.array().cast("array<string>"))
+    first = F.element_at(F.split("_t", r"\r?\n", 2), 1)
     size = F.concat(F.lit("n:"), F.floor(F.log2(F.col("_n") + 1)).cast("string"))
     varied = F.concat(F.lit("v:"), F.floor(F.col("_distinct") * 8).cast("string"))
-    title = F.concat(F.lit("t:"), F.least(F.size(F.split(first, r"\s+")), F.lit(8)).cast("string"), F.when(first.rlike(r"[.!?:]\s*$"), ".").otherwise(""))
+    title = F.concat(F.lit("t:"), F.least(F.size(F.split(first, r"\s+", 9)), F.lit(8)).cast("string"), F.when(first.rlike(r"[.!?:]\s*$"), ".").otherwise(""))
     latin = F.concat(F.lit("l:"), F.floor(F.col("_latin") * 4).cast("string"))
-    terms = F.array_distinct(F.concat(words, pairs, shapes, inner, marks, F.array(size, varied, title, latin)))
+    terms = F.concat(words, pairs, signed, F.array(size, varied, title, latin))
     return F.coalesce(terms, F.array().cast("array<string>"))
 
 
@@ -159,7 +176,7 @@ def prepare(documents: DataFrame, doc_id: str, text: str, host: str, staging: St
     """
     narrow = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").cast("string").alias("host"))
     narrow = narrow.filter(F.length(F.trim("text")) > 0)
-    d = describe(narrow).withColumn("_terms", features()).withColumn("_only", _only_residue())
+    d = describe(narrow).withColumn("_terms", features())
     owner = F.coalesce("host", F.concat(F.lit("row "), F.col("doc").cast("string")))
     fold = F.pmod(F.xxhash64(F.lit("host"), owner), F.lit(1000)) / 1000
     d = d.select("doc", F.col("_n").alias("n"), F.col("_field").alias("field"), F.col("_only").alias("only"), weak_label().alias("label"), fold.alias("fold"), "_terms")
