@@ -22,10 +22,10 @@ def reciprocal_rank_fusion(items: DataFrame, item: str, scores: list[str], k: fl
     other columns are ignored.
     """
     staging = staging or Staging(items.sparkSession, "fusion")
-    at = "transform"
     narrow = items.select(F.col(f"`{item}`").alias("_item"), *[F.col(f"`{s}`").cast("double").alias(f"_s{i}") for i, s in enumerate(scores)])
+    narrow = staging.put("scores", narrow)  # read for the counts, the common values and the rare ones
     long = narrow.select("_item", F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(len(scores))])).alias("_series", "_value"))
-    ranked = global_rank(long, "_item", "_series", "_value", staging, at)
+    ranked = global_rank(long, "_item", "_series", "_value", staging, "ranks")
     share = (F.col("rank") - 1) / F.col("of")
     fused = ranked.groupBy("_item").agg(
         F.count(F.lit(1)).alias("n_scores"),
