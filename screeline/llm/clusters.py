@@ -70,7 +70,7 @@ def grid_clusters(
     if not stepped:
         points = points.withColumn("fixed", F.array().cast("array<double>"))
     quantised = [F.floor(F.col(f"x{i}") / side).alias(f"q{i}") for i in range(smooth)]
-    points = points.select("id", "fixed", *quantised, *[f"x{i}" for i in range(smooth)])
+    points = staging.put("points", points.select("id", "fixed", *quantised, *[f"x{i}" for i in range(smooth)]))
     cell_key = ["fixed", *[f"q{i}" for i in range(smooth)]]
     cells = points.groupBy(*cell_key).agg(
         F.min("id").alias("cell"), F.count(F.lit(1)).alias("n"),
