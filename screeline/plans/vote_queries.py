@@ -76,7 +76,17 @@ def vote_components(spark, folder):
     return ratings.vote_components(qualified(spark, folder), Staging(spark, "votes"))
 
 
-@query("elo_replay")
+_REPLAY = f"""WITH RECURSIVE {_ONCE}, ids AS (SELECT item, row_number() OVER (ORDER BY item) AS i FROM (SELECT route_a AS item FROM qualified UNION SELECT route_b FROM qualified)),
+log AS (SELECT row_number() OVER (ORDER BY seq, route_a, route_b) AS n, a.i AS ia, b.i AS ib, CASE o WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END::DOUBLE AS y FROM qualified JOIN ids a ON a.item = route_a JOIN ids b ON b.item = route_b),
+state(n, r) AS (
+  SELECT 0::BIGINT, list_transform(range((SELECT count(*) FROM ids)), lambda x: 1500.0::DOUBLE)
+  UNION ALL SELECT n, list_transform(r, lambda v, i: CASE WHEN i = ia THEN v + d WHEN i = ib THEN v - d ELSE v END)
+  FROM (SELECT log.n, r, ia, ib, 24 * (y - 1 / (1 + exp(-(r[ia] - r[ib]) * ln(10.0::DOUBLE) / 400))) AS d FROM state JOIN log ON log.n = state.n + 1)),
+counts AS (SELECT item, count(*) AS votes FROM (SELECT route_a AS item FROM qualified UNION ALL SELECT route_b FROM qualified) GROUP BY item)
+SELECT item, round((SELECT arg_max(r, n) FROM state)[i], 6) AS rating, votes FROM ids JOIN counts USING (item)"""
+
+
+@query("elo_replay", _REPLAY)
 def elo_replay(spark, folder):
     r = ratings.elo_replay(qualified(spark, folder))
     return r.select("item", F.round("rating", 6).alias("rating"), "votes")
