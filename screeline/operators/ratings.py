@@ -145,10 +145,16 @@ def voter_bootstrap(votes: DataFrame, ids: list[str], repeats: int = 100, l2: fl
 
 def hourly_counts(votes: DataFrame, voter: str = "voter", at: str = "received", seconds: int = 3600) -> DataFrame:
     """Each vote with the voter's votes in the ``seconds`` before it, not counting itself nor any
-    at exactly that distance."""
+    at exactly that distance.
+
+    A voter's votes are cut into spans of that length; a span also sees the one before, which
+    is as far back as any count reaches, so a busy voter is spread over as many tasks as spans.
+    """
     span = seconds * 1_000_000
-    w = Window.partitionBy(voter).orderBy("_us").rangeBetween(-(span - 1), -1)
-    return votes.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("before", F.count(F.lit(1)).over(w)).drop("_us")
+    v = votes.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_own", F.floor(F.col("_us") / span))
+    v = v.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(voter, "_span").orderBy("_us").rangeBetween(-(span - 1), -1)
+    return v.withColumn("before", F.count(F.lit(1)).over(w)).filter("_span = _own").drop("_us", "_own", "_span")
 
 
 def evaluation_pool(items: DataFrame, item: str, fraction: float = 0.2, seed: str = "pool") -> DataFrame:

@@ -214,14 +214,26 @@ def occupied_cells(runs: DataFrame, owner: list[str], grid_m: float = 50.0) -> D
 
 def cell_overlap(cells: DataFrame, owner: str, least: float = 0.5) -> DataFrame:
     """Pairs (a, b, common, fraction) of owners whose shared cells are at least the part
-    ``least`` of the smaller owner's cells.  Owners without common cells never meet."""
-    size = cells.groupBy(owner).agg(F.count(F.lit(1)).alias("_size"))
-    sized = cells.join(size, owner)
-    one = sized.select("cx", "cy", F.col(owner).alias("a"), F.col("_size").alias("_sa"))
-    two = sized.select("cx", "cy", F.col(owner).alias("b"), F.col("_size").alias("_sb"))
-    pairs = one.join(two, ["cx", "cy"]).filter("a < b").groupBy("a", "b", "_sa", "_sb").agg(F.count(F.lit(1)).alias("common"))
-    fraction = F.col("common") / F.least("_sa", "_sb")
-    return pairs.withColumn("fraction", fraction).filter(F.col("fraction") >= least).select("a", "b", "common", "fraction")
+    ``least`` of the smaller owner's cells.
+
+    Of a pair that overlaps so far, the smaller owner's rarest cells, all but as many as may be
+    missing, hold one that the other has too.  Only these rarest cells look for partners, so a
+    cell that a third of all owners cross proposes no pairs but those of owners with hardly any
+    other cell; the proposed pairs are then counted over all their cells.
+    """
+    name = F.col(owner)
+    c = cells.select(name.alias("o"), "cx", "cy").filter("o is not null").distinct()
+    crossed = c.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_many"))
+    size = c.groupBy("o").agg(F.count(F.lit(1)).alias("_size"))
+    sized = c.join(size, "o")
+    rarest = sized.join(crossed, ["cx", "cy"]).withColumn("_r", F.row_number().over(Window.partitionBy("o").orderBy("_many", "cx", "cy")))
+    rarest = rarest.filter(F.col("_r") <= F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1).select("cx", "cy", F.col("o").alias("s"), F.col("_size").alias("_ss"))
+    all_of = sized.select("cx", "cy", F.col("o").alias("t"), F.col("_size").alias("_st"))
+    order = (F.col("_ss") < F.col("_st")) | ((F.col("_ss") == F.col("_st")) & (F.col("s") < F.col("t")))
+    proposed = rarest.join(all_of, ["cx", "cy"]).filter(order).select("s", "t", "_ss").distinct()
+    counted = proposed.join(c.withColumnRenamed("o", "s"), "s").join(c.withColumnRenamed("o", "t"), ["t", "cx", "cy"])
+    pairs = counted.groupBy("s", "t", "_ss").agg(F.count(F.lit(1)).alias("common")).withColumn("fraction", F.col("common") / F.col("_ss"))
+    return pairs.filter(F.col("fraction") >= least).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "common", "fraction")
 
 
 def overlap_groups(owners: DataFrame, links: DataFrame, owner: str, staging: Staging | None = None) -> DataFrame:

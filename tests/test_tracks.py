@@ -102,6 +102,21 @@ def test_overlap_groups(spark):
     assert g == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1)}
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5, 1.0])
+def test_overlap_equals_all_pairs(spark, least):
+    rng = np.random.default_rng(int(least * 10))
+    sets = {f"o{i:02}": {(0, 0)} | {(int(x), 0) for x in rng.integers(0, 25, rng.integers(1, 12))} for i in range(40)}
+    cells = spark.createDataFrame([(o, x, y) for o, cs in sets.items() for x, y in cs] + [(None, 0, 0)], "o string, cx int, cy int")
+    got = {(r.a, r.b): (r.common, r.fraction) for r in tracks.cell_overlap(cells, "o", least).collect()}
+    want = {}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n / min(len(sets[a]), len(sets[b])) >= least:
+                want[(a, b)] = (n, pytest.approx(n / min(len(sets[a]), len(sets[b]))))
+    assert got == want and want
+
+
 def test_signature_ignores_times_and_keeps_sequences(spark):
     one = profile(spark, ([0, 50], [3000.0, None]), ([90, 130], [1.0, 2.0]))
     joined = profile(spark, ([0, 50, 90, 130], [3000.0, None, 1.0, 2.0]))
