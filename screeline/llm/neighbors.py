@@ -98,9 +98,10 @@ def nearest_neighbours(
     *,
     dims: int,
     k: int = 10,
-    m: int = 12,
+    m: int = 16,
     build_width: int = 40,
-    search_width: int = 40,
+    search_width: int = 48,
+    probe_width: int = 24,
     slack: float = 0.25,
     shards: int = 12,
     shard_rows: int = 50_000,
@@ -112,7 +113,8 @@ def nearest_neighbours(
 
     All items are indexed and looked up.  ``shards`` is the least number of shards, one more
     is made for every ``shard_rows`` points; the tree that cuts them is fitted on ``sample``
-    points at most.  Another shard is left out where its bounding box is farther than the k-th
+    points at most.  ``search_width`` and ``probe_width`` are how many candidates a search keeps
+    in the point's own shard and in others.  Another shard is left out where its bounding box is farther than the k-th
     distance found so far / (1 + ``slack``): what it could improve is then within that factor.
     Items with equal vectors are each other's neighbours at distance 0, the least ids first.
 
@@ -215,7 +217,7 @@ def nearest_neighbours(
         row = graph.to_pylist()[0]
         x, layers = _graph(row, dims, m)
         reach = asked["reach"].to_numpy()
-        number, dist = hnsw.search(x, layers, _matrix(asked["x"], dims), k, search_width, reach)
+        number, dist = hnsw.search(x, layers, _matrix(asked["x"], dims), k, probe_width, reach)
         dist = np.where(dist < reach[:, None], dist, np.inf)
         some = np.flatnonzero(np.isfinite(dist).any(1))
         return pa.Table.from_batches([_candidates(asked["id"].to_pylist(), some, number[some], dist[some], row["ids"])])
