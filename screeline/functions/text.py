@@ -11,6 +11,16 @@ CLASS_WEIGHTS = {1: 1.0, 2: 2.0, 3: 4.0, 4: 8.0, 5: 16.0}
 # fixed values: spellings of one name
 ALIASES = (("mt.", "mount"), ("mt ", "mount "), ("mount of the holy cross", "holy cross"), ("mount evans", "mount blue sky"))
 
+# fixed values: what is left out of names
+DROPPED = (r"\([^)]*\)", r"\bstandard route\b", r"\bthe\b")
+# fixed values: words before a start, words before a way, and labels that lead a figure
+START_WORDS = r"(?i)^(?:from|starting at|starting near|if you start at|if you start near)\s+"
+WAY_WORDS = r"(?i)^(?:via|if you descend)\s+"
+LEADING_WORDS = r"(?:from|with)"
+# fixed values: attributes that hold addresses, and endings of the addresses that count
+LINK_ATTRIBUTES = r"(?:href|data-href|data-url|data-download|action)"
+LINK_ENDINGS = r"(?:php|gpx)"
+
 
 def _terms(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), " ")
@@ -22,7 +32,7 @@ def normal_name(text: Column) -> Column:
     text = F.lower(text)
     for old, new in ALIASES:
         text = F.replace(text, F.lit(old), F.lit(new))
-    for pattern in (r"\([^)]*\)", r"\bstandard route\b", r"\bthe\b"):
+    for pattern in DROPPED:
         text = F.regexp_replace(text, pattern, " ")
     return _terms(text)
 
@@ -74,19 +84,17 @@ def figures(text: Column, label: str, unit: str, ends: list[str]) -> Column:
     section = F.regexp_extract(text, rf"(?is){label}\s+(.*?)(?={stop}|$)", 1)
     number = r"([\d,]+(?:\.\d+)?)"
     value = lambda s: F.regexp_replace(s, ",", "").try_cast("double")
-    led = section.rlike(r"(?i)^(?:from|with)\s+") & section.rlike(rf"(?i){unit}")
-    led_labels = F.regexp_extract_all(section, F.lit(rf"(?i)(?:from|with)\s+([^:]+):\s*{number}"), F.lit(1))
-    led_values = F.regexp_extract_all(section, F.lit(rf"(?i)(?:from|with)\s+([^:]+):\s*{number}"), F.lit(2))
+    led = section.rlike(rf"(?i)^{LEADING_WORDS}\s+") & section.rlike(rf"(?i){unit}")
+    led_labels = F.regexp_extract_all(section, F.lit(rf"(?i){LEADING_WORDS}\s+([^:]+):\s*{number}"), F.lit(1))
+    led_values = F.regexp_extract_all(section, F.lit(rf"(?i){LEADING_WORDS}\s+([^:]+):\s*{number}"), F.lit(2))
     led_all = F.zip_with(led_values, led_labels, lambda v, n: F.struct(value(v).alias("value"), F.trim(n).alias("start_label"), F.lit(None).cast("string").alias("scope_note")))
     values = F.regexp_extract_all(section, F.lit(rf"(?i){number}\s*{unit}"), F.lit(1))
     tails = F.split(section, rf"(?i)[\d,]+(?:\.\d+)?\s*{unit}")
     tails = F.slice(tails, 2, F.greatest(F.size(tails) - 1, F.lit(0)))
-    start = r"(?i)^(?:from|starting at|starting near|if you start at|if you start near)\s+"
-    way = r"(?i)^(?:via|if you descend)\s+"
 
     def one(v: Column, tail: Column) -> Column:
         tail = F.regexp_replace(F.regexp_replace(tail, r"^[ :;,()-]+", ""), r"[ :;,()-]+$", "")
-        name = F.when(tail.rlike(way), tail).when(tail.rlike(start), F.regexp_replace(tail, start, "")).otherwise("")
+        name = F.when(tail.rlike(WAY_WORDS), tail).when(tail.rlike(START_WORDS), F.regexp_replace(tail, START_WORDS, "")).otherwise("")
         return F.struct(value(v).alias("value"), name.alias("start_label"), F.when((name == "") & (tail != ""), tail).alias("scope_note"))
 
     return F.when(led, led_all).otherwise(F.zip_with(values, tails, one))
@@ -105,10 +113,10 @@ def selected_figure(candidates: Column, start: Column) -> Column:
 def links(html: Column, host: str) -> Column:
     """The distinct canonical page and track addresses that a page names, sorted: attributes
     and quoted strings ending in .php or .gpx; nothing is put together from parts."""
-    named = F.regexp_extract_all(html, F.lit(r"(?is)(?:href|data-href|data-url|data-download|action)\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    quoted = F.regexp_extract_all(html, F.lit(r"(?is)[\"']([^\"'\r\n<>]+\.(?:php|gpx)(?:\?[^\"'\r\n<>]*)?)[\"']"), F.lit(1))
+    named = F.regexp_extract_all(html, F.lit(rf"(?is){LINK_ATTRIBUTES}\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    quoted = F.regexp_extract_all(html, F.lit(rf"(?is)[\"']([^\"'\r\n<>]+\.{LINK_ENDINGS}(?:\?[^\"'\r\n<>]*)?)[\"']"), F.lit(1))
     values = F.transform(F.concat(named, quoted), lambda v: F.replace(v, F.lit("\\/"), F.lit("/")))
-    good = F.filter(values, lambda v: ~v.rlike(r"(?i)^(javascript:|#|mailto:)") & v.rlike(r"(?i)(\.php(\?|$)|\.gpx(\?|$))") & ~v.rlike(r"[ {}<>]"))
+    good = F.filter(values, lambda v: ~v.rlike(r"(?i)^(javascript:|#|mailto:)") & v.rlike(rf"(?i)\.{LINK_ENDINGS}(\?|$)") & ~v.rlike(r"[ {}<>]"))
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(good, lambda v: canonical_url(v, host)))))
 
 

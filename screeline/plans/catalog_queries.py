@@ -56,7 +56,7 @@ for _old, _new in tx.ALIASES:
 
 def _norm(name: str) -> str:
     x = _ALIAS.format(name)
-    for pattern in (r"\([^)]*\)", r"\bstandard route\b", r"\bthe\b"):
+    for pattern in tx.DROPPED:
         x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
     return f"array_to_string(regexp_extract_all({x}, '[a-z0-9]+'), ' ')"
 
