@@ -28,19 +28,22 @@ def nearest_names(rows: DataFrame, item: str, name: str, catalog: DataFrame, tit
     """(item, place, entry, ratio): the k catalog entries with the most similar normalised names.
 
     The ratio is 1 - edit distance / length of the longer name; ties go to the lesser entry.
-    The rows are the few that no exact rule matched; they are compared to the whole catalog,
-    which is sent to every task and may hold ``LARGEST_CATALOG`` entries; beyond that it is
-    compared in blocks, each giving its own k best.
+    The rows are those that no exact rule matched, few or many; each is compared to the whole
+    catalog, which is sent to every task in one row and may hold ``LARGEST_CATALOG`` entries;
+    beyond that it is compared in blocks, each giving its own k best. Only these are shuffled.
     """
     q = rows.select(item, normal_name(F.col(name)).alias("_q")).filter("_q is not null")
     c = catalog.select(F.col(entry).alias("entry"), normal_name(F.col(title)).alias("_t")).filter("_t is not null").distinct()
     blocks = -(-max(1, c.count()) // LARGEST_CATALOG)
-    ratio = 1 - F.levenshtein("_q", "_t") / F.greatest(F.length("_q"), F.length("_t"), F.lit(1))
+
+    def rated(x):
+        ratio = 1 - F.levenshtein(F.col("_q"), x["_t"]) / F.greatest(F.length("_q"), F.length(x["_t"]), F.lit(1))
+        return F.struct((-ratio).alias("r"), x["entry"].alias("entry"))
+
     best = None
     for b in range(blocks):
-        part = c.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b)
-        pairs = q.join(F.broadcast(part), F.lit(True)).select(item, "entry", ratio.alias("ratio"))
-        top = pairs.groupBy(item).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "entry"))), 1, k).alias("top"))
+        part = c.filter(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("entry", "_t")).alias("_catalog"))
+        top = q.join(F.broadcast(part), F.lit(True)).select(item, F.slice(F.array_sort(F.transform("_catalog", rated)), 1, k).alias("top"))
         best = top if best is None else best.unionByName(top)
     best = best.groupBy(item).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
     return best.select(item, F.posexplode("top").alias("p", "t")).select(item, (F.col("p") + 1).alias("place"), F.col("t.entry").alias("entry"), (-F.col("t.r")).alias("ratio"))

@@ -134,6 +134,26 @@ def match_by_page(spark, folder):
     return a.join(b, ["url", "page"]).select("route_id", "entry", "page").distinct()
 
 
+@query(
+    "unmatched_candidates",
+    f"""WITH {_STATUS}, {_TITLES}, named AS (SELECT route_id, {_norm('canonical_name')} AS q, {_canon('source_url')} AS url FROM status),
+pages AS (SELECT route_id AS entry, {_canon('source_url')} AS url FROM route_manifest),
+settled AS (SELECT route_id FROM named n JOIN pages p ON n.url = p.url AND {_page('n.url')} = {_page('p.url')} GROUP BY 1 HAVING count(DISTINCT entry) = 1
+  UNION SELECT route_id FROM named n JOIN titles t ON t.name = n.q AND n.q <> '' GROUP BY 1 HAVING count(DISTINCT entry) = 1),
+rated AS (SELECT route_id, entry, 1 - levenshtein(q, name)::DOUBLE / greatest(length(q), length(name), 1) AS ratio FROM (SELECT * FROM named ANTI JOIN settled USING (route_id)), titles WHERE q IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY ratio DESC, entry) AS place FROM rated)
+SELECT route_id, place::INT AS place, entry, round(ratio, 6) AS ratio FROM placed WHERE place <= 5""",
+)
+def unmatched_candidates(spark, folder):
+    """For the routes to which neither page nor name gives exactly one entry, with or without an
+    address: the five most similar names of the manifest. A route without a name has none."""
+    by_page = match_by_page(spark, folder).groupBy("route_id").agg(F.count_distinct("entry").alias("n")).filter("n = 1")
+    by_name = match_by_name(spark, folder).filter("entry is not null")
+    left = status(spark, folder).join(by_page.select("route_id").unionByName(by_name.select("route_id")), "route_id", "left_anti")
+    n = matching.nearest_names(left, "route_id", "canonical_name", manifest(spark, folder), "canonical_name", "route_id")
+    return n.withColumn("ratio", F.round("ratio", 6))
+
+
 @query(
     "contract_violations",
     """WITH broken AS (

@@ -109,3 +109,17 @@ def test_matching(spark):
     assert m == {"1": ("a", 1), "2": (None, 2), "3": (None, 0), "4": (None, 0)}
     n = matching.nearest_names(rows.filter("id = '3'"), "id", "name", cat, "t", "e", k=2).orderBy("place").collect()
     assert n[0].entry == "d" and n[0].ratio == pytest.approx(0.8)
+
+
+def test_unmatched_candidates(spark):
+    """Rows with an address have candidates too, unless page or name gives exactly one entry."""
+    from conftest import SF
+    from screeline.plans import QUERIES
+
+    rows = {n: QUERIES[n](spark, SF).toPandas() for n in ("match_by_page", "match_by_name", "unmatched_candidates", "canonical_urls")}
+    paged = rows["match_by_page"].groupby("route_id").entry.nunique()
+    named = rows["match_by_name"].dropna(subset="entry").route_id
+    got = rows["unmatched_candidates"].groupby("route_id").size()
+    addressed = set(rows["canonical_urls"].dropna(subset="url").route_id)
+    assert not set(got.index) & (set(paged[paged == 1].index) | set(named)) and set(got) == {5}
+    assert len(set(got.index) & addressed) > len(got) / 2
