@@ -41,9 +41,26 @@ def reciprocal_rank_fusion(items: DataFrame, item: str, scores: list[str], k: fl
     return fused.unionByName(rest, allowMissingColumns=True).withColumnRenamed("_item", item)
 
 
-def fused_ranking(items: DataFrame, item: str, scores: list[str], k: float = 60.0) -> DataFrame:
-    """The fused items with their position: 1 plus the items with a strictly greater sum."""
+def _positions(items: DataFrame, item: str, scores: list[str], k: float) -> DataFrame:
+    """The fused items with their ``position`` and, in ``of``, the number of all items."""
     staging = Staging(items.sparkSession, "fusion")
     fused = staging.put("fused", reciprocal_rank_fusion(items, item, scores, k, staging))
     long = fused.withColumn("_all", F.lit(0))
-    return global_rank(long, item, "_all", "fused", staging, "position").withColumnRenamed("rank", "position").drop("_all", "of")
+    return global_rank(long, item, "_all", "fused", staging, "position").withColumnRenamed("rank", "position").drop("_all")
+
+
+def fused_ranking(items: DataFrame, item: str, scores: list[str], k: float = 60.0) -> DataFrame:
+    """The fused items with their position: 1 plus the items with a strictly greater sum."""
+    return _positions(items, item, scores, k).drop("of")
+
+
+def leaders(items: DataFrame, item: str, scores: list[str], least: int, share: float, k: float = 60.0) -> DataFrame:
+    """Of the fused ranking, the items with ``least`` scores or more whose ``worst_share`` is under
+    ``share``; the columns are those of ``fused_ranking``.
+
+    Such an item has ranks under 1 + share * all items in each of its scores, so its sum is over
+    least / (k + 1 + share * all items): the ranking is read down to there, then the shares are tested.
+    """
+    bound = F.lit(float(least)) / (F.lit(k + 1.0) + F.lit(share) * F.col("of"))
+    head = _positions(items, item, scores, k).filter(F.col("fused") >= bound * (1 - 1e-9)).drop("of")
+    return head.filter((F.col("n_scores") >= least) & (F.col("worst_share") < share))

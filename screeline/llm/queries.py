@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
-from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
+from screeline.llm.fusion import fused_ranking, leaders
 from screeline.llm.leakage import find_leaks
 from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
@@ -49,8 +49,7 @@ def _scored(spark, folder):
 
 @query
 def p3_found(spark, folder):
-    fused = reciprocal_rank_fusion(_scored(spark, folder), "route_id", SCORES)
-    return fused.filter("n_scores >= 3 and worst_share < 0.1").select("route_id")
+    return leaders(_scored(spark, folder), "route_id", SCORES, least=3, share=0.1).select("route_id")
 
 
 @query

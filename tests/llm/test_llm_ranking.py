@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF, against_sql
 from screeline.llm import queries
-from screeline.llm.fusion import fused_ranking, reciprocal_rank_fusion
+from screeline.llm.fusion import fused_ranking, leaders, reciprocal_rank_fusion
 from screeline.llm.pairwise import counted_votes, pairwise_strengths
 from screeline.llm.splits import assign_splits, related_groups, route_keys, spanning_forest
 from screeline.staging import Staging
@@ -40,6 +40,19 @@ def test_fusion_is_blind_to_scale(spark):
     assert one == {x.id: x.position for x in fused_ranking(wide, "id", ["a", "b"]).collect()}
 
 
+def test_leaders_come_from_the_fused_ranking(spark):
+    rng = np.random.default_rng(1)
+    names = ["a", "b", "c", "d"]
+    level = rng.normal(size=400)
+    rows = [(str(i), *[float(level[i] + 0.4 * rng.normal()) if rng.random() > 0.15 else None for _ in names]) for i in range(400)]
+    d = spark.createDataFrame(rows, "id string, a double, b double, c double, d double")
+    want = reciprocal_rank_fusion(d, "id", names).filter("n_scores >= 3 and worst_share < 0.1")
+    got = leaders(d, "id", names, 3, 0.1)
+    assert {r.id for r in got.collect()} == {r.id for r in want.collect()} and want.count() > 5 and "position" in got.columns
+    plan = queries.QUERIES["p3_found"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fused" in plan
+
+
 VOTE = "voter string, a string, b string, o string, t int, n int"
 
 
