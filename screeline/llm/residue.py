@@ -110,9 +110,7 @@ def describe(documents: DataFrame, text: str = "text") -> DataFrame:
     latin = F.size(F.filter("_words", lambda w: w.isin(*sorted(LATIN))))
     d = d.withColumn("_latin", latin / F.greatest("_n", F.lit(1)))
     d = d.withColumn("_phrase", has_phrase(F.col("_low"))).withColumn("_field", has_field(F.col("_t")))
-    # without a phrase and in varied words of a living language something is said
-    may = F.col("_phrase") | (F.col("_latin") > 0.3) | (F.col("_distinct") < 0.35) | (F.col("_n") < 12)
-    return d.withColumn("_only", F.when(may, _only_residue()).otherwise(F.lit(False)))
+    return d.withColumn("_only", _only_residue())
 
 
 def _only_residue() -> Column:

@@ -135,6 +135,14 @@ def test_fields(spark):
     assert got == [True] * len(FIELDS) + [False] * len(NO_FIELDS)
 
 
+def test_sentences_are_read_without_a_listed_phrase(spark):
+    nothing = ["tap here now to go tap here now to go tap here now", "Contact the webmaster of this page. Wait 20 minutes before you come. Mud. Snow. Fox.", "Rocks and mud. Snow on top. Fog all day. Wind from north. Boots got wet."]
+    something = ["We climbed the ridge in snow and waited there at a lake for our partner.", "Contact the webmaster of this page. We climbed a ridge in snow and waited at the lake."]
+    d = spark.createDataFrame([(t,) for t in nothing + something], "text string")
+    got = [(r._phrase, r._n >= 12, r._only) for r in residue.describe(d).select("_phrase", "_n", "_only").collect()]
+    assert got == [(False, True, True)] * 3 + [(False, True, False)] * 2
+
+
 def texts(spark, extra):
     rng = np.random.default_rng(0)
     vocabulary = "snow ridge climbed fox lake turned early mud north boots helmet slow windy gully notch rope partner waited summit cloud we the at in and".split()
