@@ -20,8 +20,8 @@ from screeline.staging import Staging
 # fixed values: fields that a template engine or an editor should have filled
 FIELD_PATTERNS = [
     r"\{\{\s*\w+(\.\w+)*\s*\}\}",
-    r"\{%-?\s*\w+[^%}]{0,60}-?%\}",
-    r"<%=?\s*\w[^%>]{0,60}%>",
+    r"\{%-?\s*\w[^%}]*%\}",
+    r"<%=?\s*\w[^%>]*%>",
     r"[$#]\{\s*\w{2,}(\.\w+)*\s*\}",
     r"\$[a-z]\w*(\.\w+)+\$",
     r"%\(\s*\w{2,}\s*\)s",
@@ -30,11 +30,11 @@ FIELD_PATTERNS = [
     r"\b__[a-z][a-z_]*[a-z]__\b",
     r"\[\[\s*[a-z]+(_[a-z]+)*\s*\]\]",
     r"(?<![$#{])\{[a-z]{2,}(_[a-z]+)*\}(?!\})",
-    r"\[\s*insert\s[^\]\[]{1,60}\shere\s*\]",
-    r"\[\s*[^\]\[]{1,60}\sgoes\s+here\s*\]",
-    r"\[\s*your\s[^\]\[]{1,60}\shere\s*\]",
-    r"<\s*your\s[^<>]{1,60}>",
-    r"«[^«»]{1,60}»\s*:\s*to\s+be\s+filled\s+in",
+    r"\[\s*insert\s[^\]\[]+\shere\s*\]",
+    r"\[[^\]\[]+\sgoes\s+here\s*\]",
+    r"\[\s*your\s[^\]\[]+\shere\s*\]",
+    r"<\s*your\s[^<>]+>",
+    r"«[^«»]+»\s*:\s*to\s+be\s+filled\s+in",
 ]
 # fixed values: fields written as capital words in angle brackets, and what is a tag instead
 CAPITAL_FIELD = r"<(?!/?(?:A|B|I|U|S|P|BR|HR|EM|LI|UL|OL|TD|TR|TH|DIV|PRE|SUB|SUP|SPAN|CODE|TABLE|STRONG|SMALL|BLOCKQUOTE|IMG|H[1-6])\s*/?>)[A-Z]{3,}(\s[A-Z]{2,}){0,3}>"
@@ -67,7 +67,7 @@ LATIN = set(
 
 #: Signs without which a text can hold no field but one in round brackets.
 SIGNS = r"[{}\[\]<>@#$%«»_|=]"
-ROUND_FIELD = r"(?i)\(\s*(?:add|insert|enter|put|your)\s[^()]{1,60}\shere\s*\)"
+ROUND_FIELD = r"(?i)\(\s*(?:add|insert|enter|put|your)\s[^()]+\shere\s*\)"
 
 
 def decoded(text: Column) -> Column:

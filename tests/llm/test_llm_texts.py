@@ -135,6 +135,14 @@ def test_fields(spark):
     assert got == [True] * len(FIELDS) + [False] * len(NO_FIELDS)
 
 
+def test_fields_of_any_length(spark):
+    long = "the name of the place where your party left the cars, with the road that leads there and the hour of the start"
+    fields = ["{% if " + long + " %}", "{%- if " + long + " -%}", "<%= " + long + " %>", f"[insert {long} here]", f"[{long} goes here]", f"[your {long} here]", f"<your {long}>", f"«{long}»: to be filled in", f"(add {long} here)"]
+    none = [f"[insert {long}] here]", f"<your {long}", f"(add {long}) here)", f"30% {long} 40%", f"«{long}» dit-il", f"[{long}] goes here"]
+    d = spark.createDataFrame([(f"Turn left at the {f} and go on.",) for f in fields + none], "t string")
+    assert [r[0] for r in d.select(residue.has_field(F.col("t"))).collect()] == [True] * len(fields) + [False] * len(none)
+
+
 def test_sentences_are_read_without_a_listed_phrase(spark):
     nothing = ["tap here now to go tap here now to go tap here now", "Contact the webmaster of this page. Wait 20 minutes before you come. Mud. Snow. Fox.", "Rocks and mud. Snow on top. Fog all day. Wind from north. Boots got wet."]
     something = ["We climbed the ridge in snow and waited there at a lake for our partner.", "Contact the webmaster of this page. We climbed a ridge in snow and waited at the lake."]
