@@ -53,6 +53,19 @@ def test_edits_within_and_beyond_the_budget():
     assert not found(AROUND.format(" ".join(WORDS[::-1])))
 
 
+def test_passages_may_begin_with_a_short_word():
+    w = WORDS[WORDS.index("at") :][:13]
+    assert len(w) == 13 and not found(AROUND.format(" ".join(w[2:])))
+    assert found(AROUND.format(" ".join([w[0], "other", *w[2:]])))
+
+
+def test_three_edits_in_the_middle_of_eighteen_words():
+    item = "on the way to a top we Zemnulorkstone then Brypithtower and Kolvaristeep so up to it at last".split()
+    text = AROUND.format(" ".join("other" if len(w) > 9 else w for w in item))
+    assert sum(len(w) > 9 for w in item) == 3
+    assert leaks(ItemIndex([(1, " ".join(item))], LeakRule()), [5], [text]) == [(5, 1, 18, 3)]
+
+
 def test_filter_keeps_all_that_alignment_accepts():
     """Random passages with edits: whatever a filter that passes everything lets through."""
     rng = np.random.default_rng(0)
