@@ -145,3 +145,25 @@ def test_running_elo_equals_the_replay(spark, tmp_path):
     stream.drain(stream.vote_stream(spark, str(tmp_path / "v"), v.schema, 1), "elo", "append", staging, elo)
     got = {r["item"]: r.rating for r in elo.ratings().collect()}
     assert got == pytest.approx({r["item"]: r.rating for r in ratings.elo_replay(v).collect()})
+
+
+def test_repetitions_are_those_of_the_reference(monkeypatch):
+    """50 starts, 100 resamples of 50 starts, 1500 rounds."""
+    import inspect
+
+    real, starts = stats.kmeans, []
+
+    def counted(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        starts.append(bound.arguments["starts"])
+        return real(*args, **kwargs | {"starts": 1})
+
+    monkeypatch.setattr(stats, "kmeans", counted)
+    two = np.random.default_rng(0).normal(0, 1, (20, 3)) + np.repeat([[0], [8]], 10, 0)
+    label, _ = stats.chosen_clusters(two)
+    assert set(starts) == {50}
+    starts.clear()
+    stats.stability(two, label)
+    assert starts == [50] * 100
+    assert inspect.signature(stats.tsne).parameters["rounds"].default == 1500
