@@ -149,12 +149,13 @@ def hourly_counts(votes: DataFrame, voter: str = "voter", at: str = "received",
 
     A voter's votes are cut into spans of that length; a span also sees the one before, which
     is as far back as any count reaches, so a busy voter is spread over as many tasks as spans.
+    Votes without a time are kept; as in SQL, each counts the voter's votes without a time.
     """
     span = seconds * 1_000_000
     v = votes.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_own", F.floor(F.col("_us") / span))
-    v = v.withColumn("_span", F.explode(F.array("_own", F.col("_own") + 1)))
+    v = v.withColumn("_span", F.explode(F.when(F.col("_own").isNull(), F.array("_own")).otherwise(F.array("_own", F.col("_own") + 1))))
     w = Window.partitionBy(voter, "_span").orderBy("_us").rangeBetween(-(span - 1), -1)
-    return v.withColumn("before", F.count(F.lit(1)).over(w)).filter("_span = _own").drop("_us", "_own", "_span")
+    return v.withColumn("before", F.count(F.lit(1)).over(w)).filter(F.col("_span").eqNullSafe(F.col("_own"))).drop("_us", "_own", "_span")
 
 
 def evaluation_pool(items: DataFrame, item: str, fraction: float = 0.2, seed: str = "pool") -> DataFrame:

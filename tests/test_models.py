@@ -167,3 +167,13 @@ def test_repetitions_are_those_of_the_reference(monkeypatch):
     stats.stability(two, label)
     assert starts == [50] * 100
     assert inspect.signature(stats.tsne).parameters["rounds"].default == 1500
+
+
+def test_hourly_counts_keep_votes_without_a_time(spark):
+    import duckdb
+
+    t0 = dt.datetime(2025, 1, 1)
+    d = spark.createDataFrame([(1, "v", None), (2, "v", None), (3, "v", t0), (4, "v", t0 + dt.timedelta(seconds=9)), (5, "w", None), (6, None, t0), (7, None, None)], "id int, voter string, received timestamp")
+    votes = d.toPandas()  # noqa: F841 - read by the SQL
+    want = duckdb.sql("SELECT id, count(*) OVER (PARTITION BY voter ORDER BY epoch_us(received::TIMESTAMP) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) AS before FROM votes").fetchall()
+    assert sorted((r.id, r.before) for r in ratings.hourly_counts(d).collect()) == sorted(want) and len(want) == 7
