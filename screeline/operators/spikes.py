@@ -38,16 +38,16 @@ METRES_PER_DEGREE = 111_320.0
 class SpikeLimits:
     """What counts as a fault.
 
-    The possible range is the earth's; the expected range is that of the data set
-    (here Colorado with some margin), outside of which a reading belongs to another place.
+    The possible range is the earth's.  The expected range is that of the data set, outside of
+    which a reading belongs to another place; without bounds no reading does.
     """
 
     max_abs_lat: float = 90.0
     max_abs_lon: float = 180.0
     ele_range: tuple[float, float] = (-430.0, 8849.0)
-    expected_lat: tuple[float, float] = (36.5, 41.5)
-    expected_lon: tuple[float, float] = (-109.6, -101.5)
-    expected_ele: tuple[float, float] = (800.0, 4700.0)
+    expected_lat: tuple[float, float] = (-np.inf, np.inf)
+    expected_lon: tuple[float, float] = (-np.inf, np.inf)
+    expected_ele: tuple[float, float] = (-np.inf, np.inf)
     scatter_factor: float = 8.0
     min_ele_m: float = 5.0
     min_position_m: float = 55.0
@@ -115,7 +115,7 @@ def chart(values: np.ndarray, start: np.ndarray, length: np.ndarray, how: ChartS
     by_size = np.lexsort((bend, group_of))
     first_of = np.concatenate([[0], np.cumsum(length)[:-1]])
     usual = bend[by_size][first_of + length // 2]
-    floor = least / 20
+    floor = least / 4  # a chart follows slopes that bend by less than what can be a fault
     scale = np.maximum(np.stack([usual, usual]), floor)
     level = np.stack([values[np.minimum(start + np.minimum(1, length - 1), end)], values[np.maximum(end - np.minimum(1, length - 1), start)]])
     for c in range(channels):  # the middle of the first three readings, from either end
@@ -123,6 +123,10 @@ def chart(values: np.ndarray, start: np.ndarray, length: np.ndarray, how: ChartS
         tail = np.sort(np.stack([values[np.maximum(end - i, start), c] for i in range(3)]), axis=0)[1]
         level[0, :, c], level[1, :, c] = head, tail
     trend = np.zeros((2, groups, channels))
+    early = np.arange(1, 7)  # the usual step of the first seven readings, from either end
+    for side, at in enumerate((np.minimum(start[:, None] + early, end[:, None]), np.maximum(end[:, None] - early, start[:, None]))):
+        before = np.maximum(at - 1, start[:, None]) if not side else np.minimum(at + 1, end[:, None])
+        trend[side] = np.median(values[at] - values[before], axis=1)
     run = np.zeros((2, groups), np.int64)
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
     for t in range(int(length[0])):
@@ -143,13 +147,38 @@ def chart(values: np.ndarray, start: np.ndarray, length: np.ndarray, how: ChartS
         count = np.where(out, run[:, :k] + 1, 0)
         again = count >= how.restart_after
         if again.any():
+            # the new level, with the usual step of the readings that stayed outside
+            back = how.restart_after - 1
+            earlier = np.stack([np.maximum(at[0] - back, start[:k]), np.minimum(at[1] + back, end[:k])])
             level[:, :k][again] = values[at][again]
-            trend[:, :k][again] = 0
+            trend[:, :k][again] = (values[at][again] - values[earlier][again]) / back
             count[again] = 0
         run[:, :k] = count
     return outside[0] & outside[1]
 
 
+def local_slope(values: np.ndarray, group: np.ndarray, at: np.ndarray, reach: int = 6) -> np.ndarray:
+    """The usual step from reading to reading around each of ``at``: the median of the steps
+    of its group within ``reach`` readings, which an excursion of three doesn't move."""
+    n, channels = values.shape
+    if n < 2 or not len(at):
+        return np.zeros((len(at), channels))
+    step = np.diff(values, axis=0)
+    step[group[1:] != group[:-1]] = np.nan
+    near = at[:, None] + np.arange(-reach, reach)
+    inside = (near >= 0) & (near < n - 1)
+    near = np.where(inside, near, 0)
+    own = inside & (group[near] == group[at][:, None])
+    slope = np.zeros((len(at), channels))
+    for c in range(channels):
+        steps = np.sort(np.where(own, step[near, c], np.nan), axis=1)  # NaN last
+        many = (~np.isnan(steps)).sum(1)
+        rows = np.arange(len(at))
+        middle = (steps[rows, np.maximum(many - 1, 0) // 2] + steps[rows, np.minimum(many // 2, np.maximum(many - 1, 0))]) / 2
+        slope[:, c] = np.where(many > 0, middle, 0.0)
+    return slope
+
+
 def excursion(values: np.ndarray, group: np.ndarray, suspects: np.ndarray, longest: int) -> np.ndarray:
     """How far each suspect stands off the course of its neighbours, as part of an
     excursion of at most ``longest`` rows that returns; 0 where it is part of none.
@@ -157,10 +186,11 @@ def excursion(values: np.ndarray, group: np.ndarray, suspects: np.ndarray, longe
     The course joins a reading before and one after the excursion.  It is drawn through
     the nearest and the second nearest on either side, and the least distance counts, so
     that a sound reading beside a wrong one is not taken for the wrong one.  The readings
-    joined must lie nearer to each other than the excursion to the course.
+    joined must lie nearer to each other, up to the usual slope, than the excursion to the course.
     """
     n = len(values)
     best = np.zeros(len(suspects))
+    slope = local_slope(values, group, suspects)
     for width in range(1, longest + 1):
         for offset in range(width):
             i = suspects - offset
@@ -175,7 +205,7 @@ def excursion(values: np.ndarray, group: np.ndarray, suspects: np.ndarray, longe
                     if x == y == 1:
                         fits &= inside
                     p, q = values[b], values[a]
-                    gap = np.sqrt(((p - q) ** 2).sum(1))
+                    gap = np.sqrt(((q - p - slope * (width - 1 + x + y)) ** 2).sum(1))
                     for m in range(width):
                         w = (m + x) / (width - 1 + x + y)
                         off = values[np.where(inside, i + m, 0)] - (p * (1 - w) + q * w)
@@ -213,6 +243,17 @@ def _bends(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, values[rows] - (values[rows - 1] + values[rows + 1]) / 2
 
 
+def _middle_latitude(lat: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each row the middle of three latitudes of its group (first, mid, last), by which
+    degrees of longitude are measured; 0 where these are missing."""
+    start = _starts(group)
+    length = np.diff(np.append(start, len(group)))
+    three = np.stack([lat[start], lat[start + length // 2], lat[start + length - 1]])
+    middle = np.sort(np.where(np.abs(three) <= 90, three, np.nan), axis=0)  # NaN last
+    known = (~np.isnan(middle)).sum(0)
+    return np.repeat(np.where(known > 0, middle[np.maximum(known - 1, 0) // 2, np.arange(len(start))], 0.0), length)
+
+
 BINS_PER_OCTAVE = 16
 
 _OUT = pa.schema(
@@ -277,7 +318,7 @@ def _slab(t: pa.Table, limits: SpikeLimits, how: ChartSettings) -> pa.Table:
 
     ele_off, position_off = np.zeros(len(keep)), np.zeros(len(keep))
     tables = []
-    east = np.cos(np.radians(39.0)) * METRES_PER_DEGREE
+    east = np.cos(np.radians(_middle_latitude(lat, group))) * METRES_PER_DEGREE
     for kind, columns, good, least, off in (
         (1, (ele,), ~np.isnan(ele) & ~no_ele & ~off_ele, limits.min_ele_m, ele_off),
         (2, (lat * METRES_PER_DEGREE, lon * east), ~np.isnan(lat) & ~np.isnan(lon) & ~no_place & ~far, limits.min_position_m, position_off),

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screeline.operators.spikes import excursions, flag_faulty_fixes, stuck
+from screeline.operators.spikes import SpikeLimits, excursions, flag_faulty_fixes, stuck
+from screeline.plans.quality import COLORADO
 
 FIX = "track_id string, seq_no int, pt_no int, recorder string, lat double, lon double, ele double, loaded_at int"
 
@@ -19,7 +20,7 @@ def frame(spark, lat, lon, ele, track="t", recorder="r", seq=1):
 
 
 def found(df, **how):
-    return {r.pt_no: r for r in flag_faulty_fixes(df, **how).collect()}
+    return {r.pt_no: r for r in flag_faulty_fixes(df, **{"limits": COLORADO} | how).collect()}
 
 
 def test_stuck_counts_within_groups():
@@ -39,6 +40,26 @@ def test_excursion_returns_and_steps_stay():
     assert set(np.flatnonzero(off > 5)) == {10, 11}
 
 
+@pytest.mark.parametrize("rise", [-9.0, -4.0, 0.0, 4.0, 9.0])
+@pytest.mark.parametrize("size", [-14.0, 14.0])
+def test_excursions_stand_out_on_any_slope(spark, rise, size):
+    """Also where the course climbs more in two fixes than the excursion leaves it, near either
+    end of a sequence, and for each length; the sound fixes beside stay out."""
+    lat, lon, _ = walk(200)
+    ele = 2000 + (900 if rise < 0 else 0) + rise * np.arange(200) / 2 + np.random.default_rng(7).normal(0, 0.1, 200)
+    want = {7, 60, 61, 100, 101, 102, 150, 195}
+    for at in want:
+        ele[at] += size
+    ele[120:] += 20  # a ledge that stays
+    assert set(found(frame(spark, lat, lon, ele))) == {at + 1 for at in want}
+
+
+def test_no_bounds_no_other_place(spark):
+    lat, lon, ele = walk(60)
+    df = frame(spark, lat - 60, lon + 200, ele - 2900)
+    assert not found(df, limits=SpikeLimits()) and len(found(df)) == 60
+
+
 def test_each_kind_of_fault(spark):
     lat, lon, ele = walk(400)
     ele[50] += 40
