@@ -1,229 +1,340 @@
 """Template residue, filler and error pages: a linear classifier from weak labels.
 
-Phrases, response-status words and field patterns give weak labels: surely residue, surely
-content, or neither.  A regularised logistic regression on hashed word and shape
-n-grams, length and title features is fitted on a bounded sample of the labelled rows and
-validated on rows of hosts that it didn't see.  It scores all rows; of those it suspects, an
-exact check keeps the ones with an unfilled field and the ones in which nothing but residue stands.
+Two kinds of passages are classified: whole texts, and spots, that is what stands between
+brackets or between two equal signs, where an unfilled field may be.  Status codes and a few
+phrases and field styles give weak labels: surely residue, surely content, or neither.  A
+regularised linear classifier on hashed n-grams, shapes, length and title features learns each
+kind from a bounded sample of labelled passages, without the hosts held out for validation.
+Its score decides: a document is residue if its text or one of its spots has a positive score.
+What styles, phrases and languages the labels don't know it finds by what they share with those
+the labels know.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import html
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screeline.staging import Staging
-
-# fixed values: fields that a template engine or an editor should have filled
-FIELD_PATTERNS = [
-    r"\{\{\s*\w+(\.\w+)*\s*\}\}",
-    r"\{%-?\s*\w[^%}]*%\}",
-    r"<%=?\s*\w[^%>]*%>",
-    r"[$#]\{\s*\w{2,}(\.\w+)*\s*\}",
-    r"\$[a-z]\w*(\.\w+)+\$",
-    r"%\(\s*\w{2,}\s*\)s",
-    r"%%[a-z]\w+%%",
-    r"@@[a-z]\w+@@",
-    r"\b__[a-z][a-z_]*[a-z]__\b",
-    r"\[\[\s*[a-z]+(_[a-z]+)*\s*\]\]",
-    r"(?<![$#{])\{[a-z]{2,}(_[a-z]+)*\}(?!\})",
-    r"\[\s*insert\s[^\]\[]+\shere\s*\]",
-    r"\[[^\]\[]+\sgoes\s+here\s*\]",
-    r"\[\s*your\s[^\]\[]+\shere\s*\]",
-    r"<\s*your\s[^<>]+>",
-    r"«[^«»]+»\s*:\s*to\s+be\s+filled\s+in",
-]
-# fixed values: fields written as capital words in angle brackets, and what is a tag instead
-CAPITAL_FIELD = r"<(?!/?(?:A|B|I|U|S|P|BR|HR|EM|LI|UL|OL|TD|TR|TH|DIV|PRE|SUB|SUP|SPAN|CODE|TABLE|STRONG|SMALL|BLOCKQUOTE|IMG|H[1-6])\s*/?>)[A-Z]{3,}(\s[A-Z]{2,}){0,3}>"
-# fixed values: phrases of notices about scripts and browsers, of errors, and of filler
-NOTICE_PHRASES = [
-    "needs scripts", "them switched off", "turn on javascript", "enable javascript", "active javascript", "aktivieren sie javascript",
-    "activer javascript", "scripts are required", "allow scripts", "noscript", "script support", "checking your browser", "browser is not supported",
-    "cookies to continue", "if nothing appears",
-]
-ERROR_PHRASES = [
-    "could not be found", "nicht gefunden", "page introuvable", "no encontrada", "fehlercode", "bad gateway", "http error", "service is unavailable",
-    "did not answer in", "error interno", "erreur interne", "something went wrong", "connection failed", "access denied", "request was blocked",
-    "session has expired", "log in again", "too many clients", "too many requests", "no longer available", "removed by its owner", "traceback", "keyerror",
-    "undefined variable", "null undefined", "nan mi", "vuelva a intentarlo", "internal server error", "forbidden", "gateway timeout",
-]
-FILLER_PHRASES = [
-    "lorem ipsum", "placeholder paragraph", "write your description", "beispieltext", "texto de ejemplo", "texte d'exemple", "sample copy",
-    "dummy paragraph", "will be replaced", "bitte ersetzen", "pendiente de cambiar", "blah blah", "asdf asdf", "xxx xxx",
-]
-# fixed values: what stands at the foot of such a page or counts its failure
-FOOT_PHRASES = [
-    "back to the start page", "contact the webmaster", "home | routes | maps | sign in", "peak ledger", "loading...", "try again in", "this takes",
-    "wait # minutes", "id #", "ray #", "check #", "query id", "incident #", "code #", "référence #",
-]
-# fixed values: words of mock Latin
-LATIN = set(
-    "lorem ipsum dolor sit amet consec tetur consectetur adipis adipiscing elit sed tempor labor labore magna aliqua ullam nisi quis nostr nostrud commodo veniam enim minim".split()
+from screeline.llm.linear import Linear, Rows, fit
+
+BUCKETS = 1 << 18
+
+# fixed values: weak labels of whole texts; a text of at most SHORT words is residue if it
+# holds a response status or one of few phrases
+SHORT = 40
+TEXT_SEEDS = {
+    "status": r"(?i)\b(?:http|status|error|code|fehlercode)\W{0,3}(?:error\W{0,2})?[45]\d\d\b|\A\W*[45]\d\d\b|\([45]\d\d\)",
+    "script": r"(?i)\b(?:enable|activate|turn on|activer|aktivieren|active)\b.{0,20}\bjavascript\b",
+    "denied": r"(?i)\baccess denied\b|\bforbidden\b",
+    "trace": r"(?i)\btraceback\b|\bundefined variable\b|\bexception in\b",
+    "gateway": r"(?i)\bbad gateway\b|\bgateway timeout\b|\btoo many requests\b",
+    "latin": r"(?is)\blorem\b.*\b(?:sit|sed|amet)\b",
+    "gone": r"(?i)\bno longer available\b|\bcould not be found\b|\bnicht gefunden\b|\bintrouvable\b",
+}
+# fixed values: words with which a text is no sure content
+OPEN_WORDS = r"(?i)javascript|cookies|browser|\berror\b|\b[45]0\d\b|lorem|not found|denied|placeholder|template|undefined|scripts?\b"
+# fixed values: weak labels of spots, field styles of template engines and editors
+FIELD_SEEDS = {
+    "double braces": r"\A\{\{.*\}\}\Z",
+    "dollar brace": r"\A\$\{.*\}\Z",
+    "single brace": r"\A\{[a-z]{2,}(?:_[a-z]+)*\}\Z",
+    "percent round": r"\A%\(.*\)s\Z",
+    "percent angle": r"\A<%.*%>\Z",
+    "percent brace": r"\A\{%.*%\}\Z",
+    "insert here": r"(?i)\A\[\s*insert\s.*here\s*\]\Z",
+    "your angle": r"(?i)\A<\s*your\s.*>\Z",
+    "capital angle": r"\A<[A-Z]{3,}(?:\s[A-Z]+)*>\Z",
+    "round here": r"(?i)\A\((?:add|insert|enter|put|your)\s.*here\)\Z",
+}
+# fixed values: what asks a writer to fill something in
+ASKING = r"(?i)\b(?:add|insert|enter|put|your|here|goes|fill|filled)\b"
+# fixed values: tags that are markup
+TAGS = r"(?i)\A</?(?:a|b|i|u|s|p|br|hr|em|li|ul|ol|td|tr|th|div|pre|sub|sup|span|code|table|strong|small|blockquote|img|h\d)\b[^<>]*>\Z"
+
+_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+_PIECE = re.compile(r"[^\W\d_]+|\d+")
+# a spot reaches from an opening sign to its closing one, or between equal signs around a name
+_SPOT = re.compile(
+    r"(?<!\{)[$#%@]?\{++[^{}]*+\}++|(?<!\[)\[++[^\[\]]*+\]++|(?<!<)<++[^<>]*+>++|(?<!\()%?\(++[^()]*+\)++s?|«[^«»]*+»(?:\s*:(?:\s+\w+){1,4})?"
+    r"|(?<![$%@#~|!?*=\w])([$%@#_~|!?*=]{1,2})[^\W_]++(?:[._][^\W_]++)*+\1"
 )
-
-
-#: Signs without which a text can hold no field but one in round brackets.
-SIGNS = r"[{}\[\]<>@#$%«»_|=]"
-ROUND_FIELD = r"(?i)\(\s*(?:add|insert|enter|put|your)\s[^()]+\shere\s*\)"
-
-
-def decoded(text: Column) -> Column:
-    """The text with its common entities decoded."""
-    plain = text
-    for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), plain).otherwise(text)
-
-
-def has_field(text: Column) -> Column:
-    """Whether a decoded text holds an unfilled field."""
-    signed = text.rlike(SIGNS) & (text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FIELD_PATTERNS)) | text.rlike(CAPITAL_FIELD))
-    return signed | (text.contains("(") & text.rlike(ROUND_FIELD))
-
-
-def _any(phrases: list[str]) -> str:
-    import re
-
-    return "|".join(re.escape(p).replace("\\#", "#").replace("#", r"[0-9a-f]+") for p in phrases)
-
-
-def has_phrase(low: Column) -> Column:
-    """Whether a text in lower case holds a phrase of residue."""
-    held = F.lit(False)
-    for phrase in NOTICE_PHRASES + ERROR_PHRASES + FILLER_PHRASES:
-        held = held | low.contains(phrase)
-    return held
-
-
-def describe(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds to the documents what labels, features and the check are made of: the decoded text
-    _t, in lower case _low, its _words, their number _n, the shares of _distinct and mock _latin
-    ones, and whether it holds a _phrase or _field and _only residue."""
-    d = documents.withColumn("_t", decoded(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    d = d.withColumn("_low", F.lower(F.trim(F.regexp_replace("_t", r"\s+", " "))))
-    d = d.withColumn("_words", F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
-    d = d.withColumn("_n", F.size("_words"))
-    d = d.withColumn("_distinct", F.size(F.array_distinct("_words")) / F.greatest("_n", F.lit(1)))
-    latin = F.size(F.filter("_words", lambda w: w.isin(*sorted(LATIN))))
-    d = d.withColumn("_latin", latin / F.greatest("_n", F.lit(1)))
-    d = d.withColumn("_phrase", has_phrase(F.col("_low"))).withColumn("_field", has_field(F.col("_t")))
-    return d.withColumn("_only", _only_residue())
-
-
-def _only_residue() -> Column:
-    """Whether no sentence of the text but residue, a heading or a footer says anything.
-
-    A sentence says something if it has four words or more, no phrase of residue or footers,
-    is no mock Latin, and isn't the same few words again.
-    """
-    sentences = F.split(F.regexp_replace("_t", r"([.!?:|])\s+|\s-\s|\r?\n", "$1\u0001"), "\u0001")
-
-    def says(s: Column) -> Column:
-        low = F.lower(s)
-        words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-        latin = F.size(F.filter(words, lambda w: w.isin(*sorted(LATIN))))
-        varied = F.size(F.array_distinct(words)) * 2 > F.size(words)
-        return (F.size(words) >= 4) & ~has_phrase(low) & ~low.rlike(_any(FOOT_PHRASES)) & (latin * 2 < F.size(words)) & varied
-
-    return ~F.exists(sentences, says)
-
-
-def weak_label() -> Column:
-    """1 residue, 0 content, null where the phrases don't tell."""
-    filler = ((F.col("_latin") > 0.6) | (F.col("_distinct") < 0.3)) & (F.col("_n").between(6, 150))
-    sure = F.col("_field") | (F.col("_phrase") & (F.col("_n") <= 40) & F.col("_only")) | filler
-    # signs without a known field are content where there is text enough around them
-    open_ = F.col("_phrase") | (F.col("_low").rlike(SIGNS) & (F.col("_n") < 12)) | F.col("_low").rlike(r"\b(javascript|cookies|browser|404|50[0-4])\b")
-    return F.when(sure, 1.0).when((F.col("_n") >= 3) & ~open_, 0.0)
-
-
-def features() -> Column:
-    """The terms to hash: words and word pairs, shapes and marks, length and title.
-
-    A shape keeps the signs of a token and writes a for one letter, w for more, 9 for digits;
-    only texts with signs have any.
-    """
-    words = F.transform("_words", lambda w: F.concat(F.lit("w:"), w))
-    pairs = F.when(
-        F.col("_n") > 1,
-        F.zip_with(F.slice("_words", 1, F.greatest(F.col("_n") - 1, F.lit(1))), F.slice("_words", 2, F.greatest(F.col("_n") - 1, F.lit(1))), lambda a, b: F.concat(F.lit("p:"), a, F.lit(" "), b)),
-    ).otherwise(F.array().cast("array<string>"))
-    shaped = F.regexp_replace(F.regexp_replace(F.regexp_replace("_low", r"\p{N}+", "9"), r"\p{L}{2,}", "w"), r"(?<!\p{L})\p{L}(?!\p{L})", "a")
-    found = lambda mark, pattern: F.transform(F.regexp_extract_all(shaped, F.lit(pattern), F.lit(0)), lambda s: F.concat(F.lit(mark), s))
-    shapes = found("s:", r"\S*[{}\[\]<>@#$%«»_|=][^\s]*(?: [wa][^\s]*)?")
-    inner = found("i:", r"[{\[<@#$%«_(]{1,3}=? ?[wa9][_. ]?|[wa9][_. ]?[}\]>@$%»_)]{1,3}:?")
-    marks = F.transform(found("m:", r"[{}\[\]<>@#$%«»_|=]+(?:w(?:[_. ]w)*)?[{}\[\]<>@#$%«»_|=]*"), lambda s: F.regexp_replace(s, "([_. ]w)+", "+"))
-    signed = F.when(F.col("_low").rlike(r"[{}\[\]<>@#$%«»_|=(]"), F.concat(shapes, inner, marks)).otherwise(F.array().cast("array<string>"))
-    first = F.element_at(F.split("_t", r"\r?\n", 2), 1)
-    size = F.concat(F.lit("n:"), F.floor(F.log2(F.col("_n") + 1)).cast("string"))
-    varied = F.concat(F.lit("v:"), F.floor(F.col("_distinct") * 8).cast("string"))
-    title = F.concat(F.lit("t:"), F.least(F.size(F.split(first, r"\s+", 9)), F.lit(8)).cast("string"), F.when(first.rlike(r"[.!?:]\s*$"), ".").otherwise(""))
-    latin = F.concat(F.lit("l:"), F.floor(F.col("_latin") * 4).cast("string"))
-    terms = F.concat(words, pairs, signed, F.array(size, varied, title, latin))
-    return F.coalesce(terms, F.array().cast("array<string>"))
-
-
-def prepare(documents: DataFrame, doc_id: str, text: str, host: str, staging: Staging) -> DataFrame:
-    """All that labels, classifier and check need of each document with a text, written once:
-    doc, n (words), field, only (nothing but residue), label, fold and the hashed features.
-
-    The fold is a number in [0, 1) of the host, or of the row where the host is null.
-    """
-    narrow = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").cast("string").alias("host"))
-    narrow = narrow.filter(F.length(F.trim("text")) > 0)
-    d = describe(narrow).withColumn("_terms", features())
-    owner = F.coalesce("host", F.concat(F.lit("row "), F.col("doc").cast("string")))
-    fold = F.pmod(F.xxhash64(F.lit("host"), owner), F.lit(1000)) / 1000
-    d = d.select("doc", F.col("_n").alias("n"), F.col("_field").alias("field"), F.col("_only").alias("only"), weak_label().alias("label"), fold.alias("fold"), "_terms")
-    hashed = HashingTF(numFeatures=1 << 18, binary=True, inputCol="_terms", outputCol="features").transform(d)
-    return staging.put("prepared", hashed.drop("_terms"))
-
-
-def fit(prepared: DataFrame, *, sample: int = 20_000, regularisation: float = 1e-4, rounds: int = 30, held_out: float = 0.2) -> LogisticRegressionModel | None:
-    """The classifier fitted on at most about ``sample`` rows of either weak label, of the hosts
-    that aren't held out for validation; None where there is but one label."""
-    labelled = prepared.filter((F.col("fold") >= held_out) & F.col("label").isNotNull())
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
-    if len(counts) < 2:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc"), F.lit(1_000_000)) / 1_000_000
-    share = F.when(F.col("label") == 1.0, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
-    drawn = labelled.filter(draw < share).select("label", "features")
-    return LogisticRegression(featuresCol="features", labelCol="label", regParam=regularisation, maxIter=rounds, aggregationDepth=2).fit(drawn)
-
-
-def scored(prepared: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    """Adds ``residue``, the classifier's probability."""
-    return model.transform(prepared).withColumn("residue", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", suspect: float = 0.01, sure: float = 0.9, short: int = 40) -> DataFrame:
-    """(doc_id, residue, field): the documents to exclude, with the classifier's probability and
-    whether they hold an unfilled field.
-
-    Suspected (``suspect``) documents stay in the result if they hold a field, or if nothing but
-    residue stands in them, or if the classifier is ``sure`` and they have at most ``short`` words.
-    Null texts are no cases, nor are empty ones; an empty table, or one whose weak labels are all
-    alike, gives an empty result.  Columns other than the named ones are ignored.
+_SIGN = re.compile(r"[{\[<(«$%@#_~|!?*=]")
+_GENERAL = str.maketrans({**dict.fromkeys("{[<(«", "("), **dict.fromkeys("}]>)»", ")"), **dict.fromkeys("$%@#~|!?*=_", "#")})
+_text_seeds = {k: re.compile(v) for k, v in TEXT_SEEDS.items()}
+_field_seeds = {k: re.compile(v, re.S) for k, v in FIELD_SEEDS.items()}
+_open, _asking, _tags = re.compile(OPEN_WORDS), re.compile(ASKING), re.compile(TAGS, re.S)
+_letters = re.compile(r"[^\W\d_]{2}")
+
+
+class _Hashes(dict):
+    """Hashes of words; all that begin with a digit count as one."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = zlib.crc32(b"9" if word[0].isdigit() else word.encode("utf-8", "surrogatepass"))
+        self[word] = value
+        return value
+
+
+_hashes = _Hashes()
+
+
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def decoded(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
+def text_features(texts: list[str]) -> tuple[Rows, list[tuple[int, float]]]:
+    """Words, word pairs, length, variety and title of whole decoded texts, and of each text the
+    number of words and the share of different ones."""
+    words, size, extra, measures = [], [], [], []
+    for t in texts:
+        w = _WORD.findall(t.lower())
+        n = len(w)
+        varied = len(set(w)) / max(n, 1)
+        first = t[: t.find("\n")] if "\n" in t else t
+        head = first.rstrip()[-1:]
+        words.extend(w)
+        size.append(n)
+        measures.append((n, varied))
+        extra.append((_hash(f"length {int(2 * np.log2(n + 1))}"), _hash(f"variety {int(8 * varied)}"), _hash(f"title {min(8, first.count(' ') + 1)} {head in '.!?:'}")))
+    size = np.array(size, np.int64)
+    code = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(texts)), size)
+    together = owner[1:] == owner[:-1]
+    pair = ((code[:-1] * 1_000_003 + code[1:] * 7_919) >> 7)[together] % BUCKETS
+    # per text: its words, its pairs, its three measures
+    pairs = np.maximum(size - 1, 0)
+    total = size + pairs + 3
+    begin = np.concatenate([[0], np.cumsum(total)])
+    flat = np.zeros(int(begin[-1]), np.int64)
+    within = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    flat[begin[:-1][owner] + within] = code % BUCKETS
+    flat[begin[:-1][owner[:-1][together]] + size[owner[:-1][together]] + within[:-1][together]] = pair
+    for j in range(3):
+        flat[begin[:-1] + size + pairs + j] = [e[j] for e in extra]
+    return Rows(flat, begin), measures
+
+
+def spots(text: str) -> list[str]:
+    """What stands in brackets or between equal signs in a decoded text, and what stands so
+    within round or square brackets."""
+    found = []
+    if _SIGN.search(text):
+        for m in _SPOT.finditer(text):
+            found.append(m.group())
+            if found[-1][0] in "([":
+                found += spots(found[-1].strip("()[]"))
+    return found
+
+
+def spot_features(spot: str) -> list[int]:
+    """Shape with its signs and with kinds of signs, case, joints, openings, words and word pairs.
+
+    In a shape w stands for a word, a for one letter, 9 for digits, and words that follow each
+    other, whatever joins them, are w+w."""
+    inside = re.sub(r"\A\W*|\W*\Z", "", spot.strip("_"))
+    kind = _PIECE.sub(lambda m: "9" if m.group()[0].isdigit() else "a" if len(m.group()) == 1 else "w", " ".join(spot.split()))
+    shape = re.sub(r"w(?:[ ._]w)+", "w+w", kind)
+    core = re.sub(r"\A[^\w+]*|[^\w+]*\Z", "", shape.replace("_", " ").strip())
+    words = [w.lower() for w in _PIECE.findall(spot)]
+    case = "upper" if inside.isupper() else "lower" if inside.islower() else "mixed"
+    joint = "_" if "_" in inside else "." if re.search(r"\w\.\w", inside) else " " if " " in inside else ""
+    left = re.match(r"[^\w\s]*_*", spot).group()
+    right = re.search(r"_*[^\w\s]*\Z", spot).group()
+    names = [
+        f"shape {shape}", f"general {shape.translate(_GENERAL)}", f"core {core}", f"core {core} {case}", f"left {left}", f"right {right}", f"case {case}{joint}",
+        f"depth {min(len(left), 3)} {min(len(right), 3)}", f"kind {len(left)} {case}{joint}", f"words {min(len(words), 8)}",
+    ]
+    names += [f"word {w}" for w in words] + [f"pair {a} {b}" for a, b in zip(words, words[1:])]
+    return [_hash(n) for n in names]
+
+
+def text_family(text: str, n: int, varied: float) -> str | None:
+    """The weak label of a whole decoded text: a family of residue, 'content', or None."""
+    if 0 < n <= SHORT:
+        for name, seed in _text_seeds.items():
+            if seed.search(text):
+                return name
+        if n >= 4 and varied < 0.3:
+            return "repeats"
+    if n >= 12 and varied > 0.5 and not _open.search(text) and not any(spot_family(s) not in (None, "content") for s in spots(text)):
+        return "content"
+    return None
+
+
+def spot_family(spot: str) -> str | None:
+    """The weak label of a spot: a style of fields, 'content', or None."""
+    for name, seed in _field_seeds.items():
+        if seed.search(spot):
+            return name
+    if _tags.match(spot) or not _letters.search(spot):
+        return "content"
+    if spot[0] in "([" and not _asking.search(spot.split(":")[0]) and (spot[0] == "(" or ":" in spot):
+        return "content"
+    if spot[0] in "*~!?|":
+        return "content"
+    return None
+
+
+@dataclass(frozen=True)
+class Learning:
+    """The sample: at most about ``documents`` documents are read for the fit, of their texts
+    labelled content about ``content`` are used, and never more than ``passages`` texts and spots
+    in all (those with the least hashes); the share ``held_out`` of the hosts is for validation.  Spots without a weak label that a fit gives a
+    probability beyond ``confident`` (or under its rest) are labels of the next, the last being
+    the third.
+    ``penalty`` is the classifier's; the priors are the weights of all residue in the fits: one
+    text in eight, as residue is rare, and one spot in two."""
+
+    documents: int = 100_000
+    content: int = 10_000
+    passages: int = 100_000
+    held_out: float = 0.2
+    confident: float = 0.75
+    penalty: float = 1e-4
+    text_prior: float = 0.125
+    spot_prior: float = 0.5
+
+
+@dataclass(frozen=True)
+class Residue:
+    """The classifiers of texts and spots; without a sample of both labels one scores nothing."""
+
+    text: Linear | None
+    spot: Linear | None
+
+
+_SAMPLE = "kind string, family string, host double, hash long, features array<int>"
+
+
+def _narrow(documents: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+    """(doc, text, draw, host): documents with a text; draw and host are numbers in [0, 1) of the
+    document and of its host, or of the document where the host is null."""
+    doc = F.col(f"`{doc_id}`")
+    owner = F.coalesce(F.col(f"`{host}`").cast("string"), F.concat(F.lit("row "), doc.cast("string")))
+    part = lambda salt, c: (F.pmod(F.xxhash64(F.lit(salt), c), F.lit(1_000_000)) / 1_000_000)
+    rows = documents.select(doc.alias("doc"), F.col(f"`{text}`").alias("text"), part("draw", doc).alias("draw"), part("host", owner).alias("host"))
+    return rows.filter(F.length(F.trim("text")) > 0)
+
+
+def _labelled(content: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [decoded(t) for t in b.column("text").to_pylist()]
+            docs = b.column("doc").to_pylist()
+            hosts = b.column("host").to_pylist()
+            rows, measures = text_features(texts)
+            out: list[tuple] = []
+            for i, t in enumerate(texts):
+                own = lambda name: zlib.crc32(f"{docs[i]} {name}".encode("utf-8", "surrogatepass"))
+                family, own_hash = text_family(t, *measures[i]), own("text")
+                if family and (family != "content" or own_hash < content * 2**32):
+                    out.append(("text", family, hosts[i], own_hash, rows.features[rows.begin[i] : rows.begin[i + 1]].tolist()))
+                for j, s in enumerate(spots(t)):
+                    out.append(("spot", spot_family(s), hosts[i], own(j), spot_features(s)))
+            columns = list(zip(*out)) if out else [(), (), (), (), ()]
+            types = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kind", "family", "host", "hash", "features"])
+
+    return run
+
+
+def weak_sample(rows: DataFrame, how: Learning) -> list:
+    """The labelled texts and the spots of the sample, on the driver: at most ``passages``."""
+    count = rows.count()
+    if not count:
+        return []
+    drawn = rows.filter(F.col("draw") < min(1.0, how.documents / count))
+    share = min(1.0, how.content / min(count, how.documents))
+    return drawn.select("doc", "text", "host").mapInArrow(_labelled(share), _SAMPLE).orderBy("hash", "kind", "features").limit(how.passages).collect()
+
+
+def _fitted(sample: list, kind: str, how: Learning, unknown: str | None = None) -> Linear | None:
+    """The classifier of one kind; ``unknown`` is a family whose labels it may not use."""
+    mine = [r for r in sample if r["kind"] == kind]
+    rows = Rows.of([r["features"] for r in mine])
+    label = np.array([np.nan if r["family"] in (None, unknown) else float(r["family"] != "content") for r in mine])
+    for turn in range(3):
+        at = np.flatnonzero(~np.isnan(label))
+        if not (label[at] == 1).any() or not (label[at] == 0).any():
+            return None
+        model = fit(rows.take(at), label[at], BUCKETS, penalty=how.penalty, prior=how.text_prior if kind == "text" else how.spot_prior)
+        open_ = np.flatnonzero(np.isnan(label))
+        if turn == 2 or not len(open_):
+            break
+        score, far = model.scores(rows)[open_], np.log(how.confident / (1 - how.confident))
+        label[open_] = np.where(score > far, 1.0, np.where(score < -far, 0.0, np.nan))
+    return model
+
+
+def learn(sample: list, how: Learning) -> Residue:
+    """The classifiers, from the passages of hosts that aren't held out."""
+    seen = [r for r in sample if r["host"] >= how.held_out]
+    return Residue(_fitted(seen, "text", how), _fitted(seen, "spot", how))
+
+
+def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning(), sure: float = 0.5) -> DataFrame:
+    """(doc_id, residue, field): the documents to exclude, with the greatest probability that the
+    classifiers give to the text or one of its spots, and whether a spot has at least ``sure``.
+
+    A document is in the result if its text or a spot has at least the probability ``sure``; no
+    list decides.  Null, empty and blank texts are no cases; repeated rows of a document give one
+    row; in an empty table, or one whose weak labels are all alike, nothing is found.  Columns
+    other than the named ones are ignored.
     """
-    prepared = prepare(documents, doc_id, text, host, Staging(documents.sparkSession, "residue"))
-    model = fit(prepared)
-    if model is None:
-        return prepared.limit(0).select(F.col("doc").alias(doc_id), F.lit(0.0).alias("residue"), "field")
-    found = scored(prepared, model).filter(F.col("residue") >= suspect)
-    found = found.filter(F.col("field") | F.col("only") | ((F.col("residue") >= sure) & (F.col("n") <= short)))
+    spark = documents.sparkSession
+    rows = _narrow(documents, doc_id, text, host)
+    model = spark.sparkContext.broadcast(learn(weak_sample(rows, how), how))  # two arrays of a megabyte
+    least = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            texts = [decoded(t) for t in b.column("text").to_pylist()]
+            score = np.full(len(texts), -np.inf)
+            if m.text:
+                score = m.text.scores(text_features(texts)[0])
+            spot = np.full(len(texts), -np.inf)
+            if m.spot:
+                found = [(i, spot_features(s)) for i, t in enumerate(texts) for s in spots(t)]
+                np.maximum.at(spot, [i for i, _ in found], m.spot.scores(Rows.of([f for _, f in found])))
+            keep = np.flatnonzero((score >= least) | (spot >= least))
+            chance = 1 / (1 + np.exp(-np.maximum(score, spot)[keep]))
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(keep)), pa.array(chance), pa.array(spot[keep] >= least)], ["doc", "residue", "field"])
+
+    found = rows.select("doc", "text").mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, residue double, field boolean")
+    found = found.groupBy("doc").agg(F.max("residue").alias("residue"), F.max("field").alias("field"))
     return found.select(F.col("doc").alias(doc_id), F.round("residue", 6).alias("residue"), "field")
 
 
-def validate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", held_out: float = 0.2) -> DataFrame:
-    """(label, rows, agreed): on rows of unseen hosts, how many the classifier puts on the side
-    of their weak label."""
-    prepared = prepare(documents, doc_id, text, host, Staging(documents.sparkSession, "residue"))
-    model = fit(prepared, held_out=held_out)
-    if model is None:
-        return documents.sparkSession.createDataFrame([], "label int, rows long, agreed long")
-    unseen = scored(prepared.filter((F.col("fold") < held_out) & F.col("label").isNotNull()), model)
-    return unseen.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("residue") >= 0.5) == (F.col("label") == 1)).alias("agreed"))
+def validate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning()) -> DataFrame:
+    """(kind, family, rows, agreed, without): of the labelled passages of hosts that the fit did
+    not see, how many the classifier puts on their label's side, and of all of the family's
+    passages the share that a classifier finds which was fitted without that family's labels."""
+    sample = weak_sample(_narrow(documents, doc_id, text, host), how)
+    model = learn(sample, how)
+    out = []
+    for kind, fitted in (("text", model.text), ("spot", model.spot)):
+        for family in sorted({r["family"] for r in sample if r["kind"] == kind and r["family"]}):
+            mine = [r for r in sample if r["kind"] == kind and r["family"] == family]
+            unseen = [r for r in mine if r["host"] < how.held_out]
+            right = lambda m, rows, side=family != "content": int(((m.scores(Rows.of([r["features"] for r in rows])) > 0) == side).sum()) if m else 0
+            without = None
+            if family != "content":
+                other = _fitted([r for r in sample if r["host"] >= how.held_out], kind, how, family)
+                without = right(other, mine) / len(mine)
+            out.append((kind, family, len(unseen), right(fitted, unseen), without))
+    return documents.sparkSession.createDataFrame(out, "kind string, family string, rows long, agreed long, without double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from screeline.llm import queries, residue
+from screeline.llm.linear import Rows, fit
 from screeline.llm.leakage import ItemIndex, LeakRule, find_leaks, leaks
 from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report, rake
 from screeline.llm.tokens import with_tokens
@@ -142,26 +143,64 @@ FIELDS = ["{{name}}", "{{ a.b_c }}", "${NAME}", "#{name_x}", "$page.name$", "<%=
 NO_FIELDS = ["{A}, {B} and {C}", "{3,450}", "30% to 40% and 5%", "[Edit: open again]", "<b>of</b>", "<B>OF</B><BR>", "$12 for 3 <5 km", "(seen in early June)", "Date: TBD by the leader", "«bonjour» dit-il", "a_b and __", ">> quoted", "x = {1, 2}"]
 
 
-def test_fields(spark):
-    d = spark.createDataFrame([(f"Turn left at the {f} and go on.",) for f in FIELDS + NO_FIELDS], "t string")
-    got = [r[0] for r in d.select(residue.has_field(residue.decoded(F.col("t")))).collect()]
-    assert got == [True] * len(FIELDS) + [False] * len(NO_FIELDS)
+LONG = "the name of the place where your party left the cars, with the road that leads there and the hour of the start"
 
 
-def test_fields_of_any_length(spark):
-    long = "the name of the place where your party left the cars, with the road that leads there and the hour of the start"
-    fields = ["{% if " + long + " %}", "{%- if " + long + " -%}", "<%= " + long + " %>", f"[insert {long} here]", f"[{long} goes here]", f"[your {long} here]", f"<your {long}>", f"«{long}»: to be filled in", f"(add {long} here)"]
-    none = [f"[insert {long}] here]", f"<your {long}", f"(add {long}) here)", f"30% {long} 40%", f"«{long}» dit-il", f"[{long}] goes here"]
-    d = spark.createDataFrame([(f"Turn left at the {f} and go on.",) for f in fields + none], "t string")
-    assert [r[0] for r in d.select(residue.has_field(F.col("t"))).collect()] == [True] * len(fields) + [False] * len(none)
+def test_spots_end_at_their_delimiters():
+    whole = [f"{{% if {LONG} %}}", f"<%= {LONG} %>", f"[insert {LONG} here]", f"<your {LONG}>", f"«{LONG}»", f"(add {LONG} here)", "{{ a.b }}", "${X_Y}", "%(x_y)s", "$a.b_c$", "%%X%%", "@@x_y@@", "__x_y__", "[[x]]", "#{x}"]
+    for s in whole:
+        assert residue.spots(f"Turn left at the {s} and go on.") == [s], s
+    assert residue.spots("(seen [ROUTE NAME GOES HERE] in May)") == ["(seen [ROUTE NAME GOES HERE] in May)", "[ROUTE NAME GOES HERE]"]
+    for s in (f"<your {LONG}", "30% to 18%, a $40 permit, <10 cars", "snake_case_name and a*b*c", "> quoted", f"«{LONG}"):
+        assert residue.spots(f"Turn left at the {s} and go on") == [], s
+    for hostile in ("{" * 200_000, "<" * 200_000, "_a" * 100_000, "__" + "a_" * 100_000, "(" * 200_000 + "x", "[" * 100_000 + "(" * 100_000, "%" * 200_000):
+        assert isinstance(residue.spots(hostile), list)  # in linear time
 
 
-def test_sentences_are_read_without_a_listed_phrase(spark):
-    nothing = ["tap here now to go tap here now to go tap here now", "Contact the webmaster of this page. Wait 20 minutes before you come. Mud. Snow. Fox.", "Rocks and mud. Snow on top. Fog all day. Wind from north. Boots got wet."]
-    something = ["We climbed the ridge in snow and waited there at a lake for our partner.", "Contact the webmaster of this page. We climbed a ridge in snow and waited at the lake."]
-    d = spark.createDataFrame([(t,) for t in nothing + something], "text string")
-    got = [(r._phrase, r._n >= 12, r._only) for r in residue.describe(d).select("_phrase", "_n", "_only").collect()]
-    assert got == [(False, True, True)] * 3 + [(False, True, False)] * 2
+def test_weak_labels():
+    family = lambda t: residue.text_family(t, *residue.text_features([t])[1][0])
+    assert family("HTTP Error 503. Try again.") == "status" and family("Please enable JavaScript now.") == "script" and family("ha ha ha ha ha ha ha ha ha") == "repeats"
+    assert family("I write JavaScript tools") is None and family("") is None and family("Snow on top") is None
+    assert family("We climbed the ridge in snow and waited there at a lake for our partner") == "content"
+    assert family("We climbed the ridge in snow and waited there at a {{lake}} for our partner") is None
+    got = [residue.spot_family(s) for s in ("{{x}}", "[INSERT A B HERE]", "<b>", "(in snow)", "{3,4}", "[Edit: again]", "@@xy@@", "(put it here)")]
+    assert got == ["double braces", "insert here", "content", "content", "content", "content", None, "round here"]
+
+
+def test_text_features_are_those_of_each_text():
+    texts = ["We saw 2 foxes. We saw.", "", "Snow", "a\nb c"]
+    together, _ = residue.text_features(texts)
+    assert len(together) == 4 and together.begin.tolist() == [0, 14, 17, 21, 29]
+    for i, t in enumerate(texts):
+        alone, _ = residue.text_features([t])
+        assert alone.features.tolist() == together.features[together.begin[i] : together.begin[i + 1]].tolist()
+
+
+def test_linear_fit_reaches_the_minimum():
+    rng = np.random.default_rng(0)
+    rows = Rows.of([rng.integers(0, 40, rng.integers(1, 9)) for _ in range(300)])
+    label = (rng.random(300) < 0.3).astype(float)
+    m = fit(rows, label, 64, penalty=1e-2, prior=0.25)
+    x = np.zeros((300, 64))
+    for i in range(300):
+        np.add.at(x[i], rows.features[rows.begin[i] : rows.begin[i + 1]], 1 / np.sqrt(rows.begin[i + 1] - rows.begin[i]))
+    share = np.where(label == 1, 0.25 / label.sum(), 0.75 / (1 - label).sum())
+    chance = 1 / (1 + np.exp(-(x @ m.weights + m.bias)))
+    assert np.abs(x.T @ (share * (chance - label)) + 1e-2 * m.weights).max() < 1e-5 and abs((share * (chance - label)).sum()) < 1e-5
+    assert np.allclose(m.scores(rows), x @ m.weights + m.bias, atol=1e-5) and m.slope < 1e-6
+    with pytest.raises(RuntimeError):
+        fit(rows, label, 64, rounds=1)
+
+
+def test_styles_without_a_label_are_found(spark):
+    """The labels know ten styles of fields; these nine they don't."""
+    styles = ["$route.{}$", "%%{}%%", "@@{}@@", "__{}__", "[[{}]]", "#{{{}}}", "[{} goes here]", "[your {} here]", "«{}»: to be filled in"]
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").filter("text is not null")
+    plain = d.filter(~F.col("text").rlike(r"[{}\[\]<>«@#$%_*(]")).orderBy("doc_id").limit(90).select("text").collect()
+    rows = [(10_000 + i, r["text"] + " We met at the " + styles[i % 9].format("start_name") + " then.", "h") for i, r in enumerate(plain)]
+    both = d.select("doc_id", "text", "route_id").unionByName(spark.createDataFrame(rows, "doc_id long, text string, route_id string"))
+    got = {r.doc_id for r in residue.find_residue(both).filter("doc_id >= 10000 and field").collect()}
+    assert len(got) >= 0.9 * len(rows) and len({i % 9 for i in got}) == 9
 
 
 def texts(spark, extra):
@@ -171,16 +210,18 @@ def texts(spark, extra):
     sentence = lambda: " ".join(rng.choice(vocabulary, int(rng.integers(7, 15)), replace=False)).capitalize() + "."
     rows = [(i, " ".join(sentence() for _ in range(int(rng.integers(2, 7)))), f"h{i % 40}") for i in range(400)]
     bad = ["404 - the page you asked for could not be found.", "Please enable JavaScript to view the map.", "lorem ipsum dolor sit amet " * 5, "xxx " * 12, "HTTP Error 503. The service is unavailable."]
+    marks = ["{{lake}}", "<b>", "${NOTCH_NAME}", "(in snow)", "[INSERT ROPE HERE]", "(early)", "{% if rope %}", "[Edit: open again]", "<%= page.fox %>", "{3,4}"]
+    rows += [(3000 + i, " ".join(sentence() for _ in range(3)) + " " + marks[i % 10] + " " + sentence(), f"h{i % 40}") for i in range(100)]
     rows += [(1000 + i, bad[i % 5] + (f"\nBack to the start page {i}" if i % 2 else ""), f"h{i % 40}") for i in range(100)]
     return spark.createDataFrame(rows + extra, "doc_id long, text string, route_id string"), rows
 
 
 def test_residue_is_found_and_mentions_are_not(spark):
     story = "We climbed the ridge in snow and waited at the lake. The booking page answered with a 404 the night before, so my partner called. Boots helped on the mud north of the notch and the fox turned early at the summit cloud."
-    extra = [(2000, story, "h1"), (2001, story + " Meet at {{trail_head}} then.", "h2"), (2002, None, "h1"), (2003, "", None), (2004, "Beispieltext, bitte ersetzen.", None), (2005, "a " * 5000, "h9")]
+    extra = [(2000, story, "h1"), (2001, story + " Meet at {{trail_head}} then.", "h2"), (2002, None, "h1"), (2003, "", None), (2004, "Bitte JavaScript aktivieren, error 404.", None), (2005, "a " * 5000, "h9")]
     d, rows = texts(spark, extra)
     got = {r.doc_id: r.field for r in residue.find_residue(d.withColumn("label", F.lit("x"))).collect()}
-    assert {i for i, *_ in rows if i >= 1000} | {2001, 2004} <= set(got) and not {i for i, *_ in rows if i < 1000} & set(got)
+    assert {i for i, *_ in rows if 1000 <= i < 2000 or i >= 3000 and i % 2 == 0} | {2001, 2004} <= set(got) and not {i for i, *_ in rows if i < 1000 or i >= 3000 and i % 2} & set(got)
     assert got[2001] and not {2000, 2002, 2003} & set(got)
     assert residue.find_residue(d.limit(0)).count() == 0 and residue.find_residue(d.filter("doc_id < 50")).count() == 0
     for r in residue.validate(d).collect():
