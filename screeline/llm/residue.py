@@ -5,7 +5,8 @@ brackets or between two equal signs, where an unfilled field may be.  Status cod
 phrases and field styles give weak labels: surely residue, surely content, or neither.  A
 regularised linear classifier on hashed n-grams, shapes, length and title features learns each
 kind from a bounded sample of labelled passages, without the hosts held out for validation.
-Its score decides: a document is residue if its text or one of its spots has a positive score.
+Its score decides: a document is residue if its text or one of its spots has a probability of
+``sure`` or ``sure_field`` or more.
 What styles, phrases and languages the labels don't know it finds by what they share with those
 the labels know.
 """
@@ -92,40 +93,49 @@ def _hash(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+#: Bounds of the length features, in words.
+LENGTHS = (6, 12, 24, 48, 96)
+_bounds = {b: (_hash(f"from {b}"), _hash(f"under {b}")) for b in LENGTHS}
+
+
 def decoded(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def text_features(texts: list[str]) -> tuple[Rows, list[tuple[int, float]]]:
-    """Words, word pairs, length, variety and title of whole decoded texts, and of each text the
-    number of words and the share of different ones."""
-    words, size, extra, measures = [], [], [], []
-    for t in texts:
-        w = _WORD.findall(t.lower())
-        n = len(w)
-        varied = len(set(w)) / max(n, 1)
+def words_of(text: str) -> tuple[list[str], int, float]:
+    """The words of a decoded text in lower case, their number and the share of different ones."""
+    words = _WORD.findall(text.lower())
+    return words, len(words), len(set(words)) / max(len(words), 1)
+
+
+def text_features(texts: list[str], split: list[tuple[list[str], int, float]] | None = None) -> Rows:
+    """Words, word pairs, length, variety and title of whole decoded texts; ``split`` are their
+    words if they are known."""
+    words, size, extra = [], [], []
+    for t, (w, n, varied) in zip(texts, split or map(words_of, texts)):
         first = t[: t.find("\n")] if "\n" in t else t
         head = first.rstrip()[-1:]
         words.extend(w)
         size.append(n)
-        measures.append((n, varied))
-        extra.append((_hash(f"length {int(2 * np.log2(n + 1))}"), _hash(f"variety {int(8 * varied)}"), _hash(f"title {min(8, first.count(' ') + 1)} {head in '.!?:'}")))
+        # the length says of each bound whether it is under it: lengths not seen in the fit lie beside seen ones
+        extra.append((*(_bounds[b][n < b] for b in LENGTHS), _hash(f"variety {int(8 * varied)}"), _hash(f"title {min(8, first.count(' ') + 1)} {head in '.!?:'}")))
     size = np.array(size, np.int64)
     code = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
     owner = np.repeat(np.arange(len(texts)), size)
     together = owner[1:] == owner[:-1]
     pair = ((code[:-1] * 1_000_003 + code[1:] * 7_919) >> 7)[together] % BUCKETS
-    # per text: its words, its pairs, its three measures
+    # per text: its words, its pairs, its measures
     pairs = np.maximum(size - 1, 0)
-    total = size + pairs + 3
+    more = len(LENGTHS) + 2
+    total = size + pairs + more
     begin = np.concatenate([[0], np.cumsum(total)])
     flat = np.zeros(int(begin[-1]), np.int64)
     within = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
     flat[begin[:-1][owner] + within] = code % BUCKETS
     flat[begin[:-1][owner[:-1][together]] + size[owner[:-1][together]] + within[:-1][together]] = pair
-    for j in range(3):
+    for j in range(more):
         flat[begin[:-1] + size + pairs + j] = [e[j] for e in extra]
-    return Rows(flat, begin), measures
+    return Rows(flat, begin)
 
 
 def spots(text: str) -> list[str]:
@@ -236,13 +246,15 @@ def _labelled(content: float):
             texts = [decoded(t) for t in b.column("text").to_pylist()]
             docs = b.column("doc").to_pylist()
             hosts = b.column("host").to_pylist()
-            rows, measures = text_features(texts)
             out: list[tuple] = []
             for i, t in enumerate(texts):
                 own = lambda name: zlib.crc32(f"{docs[i]} {name}".encode("utf-8", "surrogatepass"))
-                family, own_hash = text_family(t, *measures[i]), own("text")
-                if family and (family != "content" or own_hash < content * 2**32):
-                    out.append(("text", family, hosts[i], own_hash, rows.features[rows.begin[i] : rows.begin[i + 1]].tolist()))
+                split, own_hash = words_of(t), own("text")
+                used = own_hash < content * 2**32
+                # a text of more words is content or nothing, and content is used by its hash
+                family = text_family(t, *split[1:]) if used or split[1] <= SHORT else None
+                if family and (family != "content" or used):
+                    out.append(("text", family, hosts[i], own_hash, text_features([t], [split]).features.tolist()))
                 for j, s in enumerate(spots(t)):
                     out.append(("spot", spot_family(s), hosts[i], own(j), spot_features(s)))
             columns = list(zip(*out)) if out else [(), (), (), (), ()]
@@ -286,19 +298,19 @@ def learn(sample: list, how: Learning) -> Residue:
     return Residue(_fitted(seen, "text", how), _fitted(seen, "spot", how))
 
 
-def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning(), sure: float = 0.5) -> DataFrame:
+def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning(), sure: float = 0.6, sure_field: float = 0.5) -> DataFrame:
     """(doc_id, residue, field): the documents to exclude, with the greatest probability that the
-    classifiers give to the text or one of its spots, and whether a spot has at least ``sure``.
+    classifiers give to the text or one of its spots, and whether a spot is taken for a field.
 
-    A document is in the result if its text or a spot has at least the probability ``sure``; no
-    list decides.  Null, empty and blank texts are no cases; repeated rows of a document give one
+    A document is in the result if its text has at least the probability ``sure`` or a spot has
+    ``sure_field``; no list decides.  Null, empty and blank texts are no cases; repeated rows of a document give one
     row; in an empty table, or one whose weak labels are all alike, nothing is found.  Columns
     other than the named ones are ignored.
     """
     spark = documents.sparkSession
     rows = _narrow(documents, doc_id, text, host)
     model = spark.sparkContext.broadcast(learn(weak_sample(rows, how), how))  # two arrays of a megabyte
-    least = float(np.log(sure / (1 - sure)))
+    least, least_field = (float(np.log(p / (1 - p))) for p in (sure, sure_field))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -306,14 +318,14 @@ def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             texts = [decoded(t) for t in b.column("text").to_pylist()]
             score = np.full(len(texts), -np.inf)
             if m.text:
-                score = m.text.scores(text_features(texts)[0])
+                score = m.text.scores(text_features(texts))
             spot = np.full(len(texts), -np.inf)
             if m.spot:
                 found = [(i, spot_features(s)) for i, t in enumerate(texts) for s in spots(t)]
                 np.maximum.at(spot, [i for i, _ in found], m.spot.scores(Rows.of([f for _, f in found])))
-            keep = np.flatnonzero((score >= least) | (spot >= least))
+            keep = np.flatnonzero((score >= least) | (spot >= least_field))
             chance = 1 / (1 + np.exp(-np.maximum(score, spot)[keep]))
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(keep)), pa.array(chance), pa.array(spot[keep] >= least)], ["doc", "residue", "field"])
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(keep)), pa.array(chance), pa.array(spot[keep] >= least_field)], ["doc", "residue", "field"])
 
     found = rows.select("doc", "text").mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, residue double, field boolean")
     found = found.groupBy("doc").agg(F.max("residue").alias("residue"), F.max("field").alias("field"))

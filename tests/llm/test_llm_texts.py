@@ -158,7 +158,7 @@ def test_spots_end_at_their_delimiters():
 
 
 def test_weak_labels():
-    family = lambda t: residue.text_family(t, *residue.text_features([t])[1][0])
+    family = lambda t: residue.text_family(t, *residue.words_of(t)[1:])
     assert family("HTTP Error 503. Try again.") == "status" and family("Please enable JavaScript now.") == "script" and family("ha ha ha ha ha ha ha ha ha") == "repeats"
     assert family("I write JavaScript tools") is None and family("") is None and family("Snow on top") is None
     assert family("We climbed the ridge in snow and waited there at a lake for our partner") == "content"
@@ -169,10 +169,10 @@ def test_weak_labels():
 
 def test_text_features_are_those_of_each_text():
     texts = ["We saw 2 foxes. We saw.", "", "Snow", "a\nb c"]
-    together, _ = residue.text_features(texts)
-    assert len(together) == 4 and together.begin.tolist() == [0, 14, 17, 21, 29]
+    together = residue.text_features(texts)
+    assert len(together) == 4 and together.begin.tolist() == [0, 18, 25, 33, 45]
     for i, t in enumerate(texts):
-        alone, _ = residue.text_features([t])
+        alone = residue.text_features([t])
         assert alone.features.tolist() == together.features[together.begin[i] : together.begin[i + 1]].tolist()
 
 
