@@ -6,7 +6,7 @@ from screeline.llm import sql
 from screeline.llm.clusters import cluster_report, grid_clusters
 from screeline.llm.fusion import fused_ranking, leaders
 from screeline.llm.leakage import find_leaks
-from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report
+from screeline.llm.mixture import draw, drawn_report, margin_report, mixture_plan, plan_report
 from screeline.llm.neighbors import mutual_pairs, nearest_neighbours
 from screeline.llm.pairwise import counted_votes, pairwise_strengths
 from screeline.llm.residue import find_residue, validate
@@ -163,3 +163,8 @@ def p8_mixture(spark, folder):
 @query
 def p8_report(spark, folder):
     return drawn_report(*_plan(spark, folder))
+
+
+@query
+def p8_margins(spark, folder):
+    return margin_report(spark, _plan(spark, folder)[1])

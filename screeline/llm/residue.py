@@ -13,9 +13,7 @@ the labels know.
 
 from __future__ import annotations
 
-import html
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screeline.llm.hashed import WORD, codes, decoded, named
 from screeline.llm.linear import Linear, Rows, fit
 
 BUCKETS = 1 << 18
@@ -60,7 +59,6 @@ ASKING = r"(?i)\b(?:add|insert|enter|put|your|here|goes|fill|filled)\b"
 # fixed values: tags that are markup
 TAGS = r"(?i)\A</?(?:a|b|i|u|s|p|br|hr|em|li|ul|ol|td|tr|th|div|pre|sub|sup|span|code|table|strong|small|blockquote|img|h\d)\b[^<>]*>\Z"
 
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _PIECE = re.compile(r"[^\W\d_]+|\d+")
 # a spot reaches from an opening sign to its closing one, or between equal signs around a name
 _SPOT = re.compile(
@@ -75,22 +73,8 @@ _open, _asking, _tags = re.compile(OPEN_WORDS), re.compile(ASKING), re.compile(T
 _letters = re.compile(r"[^\W\d_]{2}")
 
 
-class _Hashes(dict):
-    """Hashes of words; all that begin with a digit count as one."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = zlib.crc32(b"9" if word[0].isdigit() else word.encode("utf-8", "surrogatepass"))
-        self[word] = value
-        return value
-
-
-_hashes = _Hashes()
-
-
 def _hash(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+    return named(name) % BUCKETS
 
 
 #: Bounds of the length features, in words.
@@ -98,13 +82,9 @@ LENGTHS = (6, 12, 24, 48, 96)
 _bounds = {b: (_hash(f"from {b}"), _hash(f"under {b}")) for b in LENGTHS}
 
 
-def decoded(text: str) -> str:
-    return html.unescape(text) if "&" in text else text
-
-
 def words_of(text: str) -> tuple[list[str], int, float]:
     """The words of a decoded text in lower case, their number and the share of different ones."""
-    words = _WORD.findall(text.lower())
+    words = WORD.findall(text.lower())
     return words, len(words), len(set(words)) / max(len(words), 1)
 
 
@@ -120,7 +100,7 @@ def text_features(texts: list[str], split: list[tuple[list[str], int, float]] |
         # the length says of each bound whether it is under it: lengths not seen in the fit lie beside seen ones
         extra.append((*(_bounds[b][n < b] for b in LENGTHS), _hash(f"variety {int(8 * varied)}"), _hash(f"title {min(8, first.count(' ') + 1)} {head in '.!?:'}")))
     size = np.array(size, np.int64)
-    code = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    code = codes(words)
     owner = np.repeat(np.arange(len(texts)), size)
     together = owner[1:] == owner[:-1]
     pair = ((code[:-1] * 1_000_003 + code[1:] * 7_919) >> 7)[together] % BUCKETS
@@ -248,7 +228,7 @@ def _labelled(content: float):
             hosts = b.column("host").to_pylist()
             out: list[tuple] = []
             for i, t in enumerate(texts):
-                own = lambda name: zlib.crc32(f"{docs[i]} {name}".encode("utf-8", "surrogatepass"))
+                own = lambda name: named(f"{docs[i]} {name}")
                 split, own_hash = words_of(t), own("text")
                 used = own_hash < content * 2**32
                 # a text of more words is content or nothing, and content is used by its hash

@@ -10,6 +10,7 @@ from screeline.llm.linear import Rows, fit
 from screeline.llm.leakage import ItemIndex, LeakRule, find_leaks, leaks
 from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report, rake
 from screeline.llm.tokens import with_tokens
+from screeline.llm.topics import k_means
 
 ITEM = "Skipping the ramp at Zemnulork Point means tilted bergschrund, followed by seventy metres of drained ground facing Brypith Tower in slush before noon."
 WORDS = ITEM.split()
@@ -131,6 +132,34 @@ def test_mixture_of_nothing(spark):
     assert plan_report(spark, plan).count() == 0
 
 
+def test_raking_says_when_it_does_not_settle():
+    cells = [{"source": s, "lang": la, "topic": t, "tokens": n} for s, la, t, n in (("a", "x", "p", 90), ("a", "y", "q", 10), ("b", "x", "q", 40), ("b", "y", "p", 60))]
+    with pytest.raises(RuntimeError):
+        rake(cells, {"a": 0.3, "b": 0.7}, {"a": 9.0, "b": 9.0}, 200.0, rounds=1)
+    w = rake(cells, {"a": 0.3, "b": 0.7}, {"a": 9.0, "b": 9.0}, 200.0)
+    assert sum(x * c["tokens"] for x, c in zip(w, cells) if c["source"] == "a") == pytest.approx(60)
+
+
+def test_topics_part_texts_by_their_words():
+    rng = np.random.default_rng(0)
+    kinds = [["snow", "ice", "frost", "wind", "storm", "cornice"], ["boots", "rope", "stove", "shell", "helmet", "gloves"], ["bus", "road", "gate", "permit", "parking", "crew"]]
+    texts = [" ".join(rng.choice(kinds[i % 3], 5)) + " and the" for i in range(120)]
+    topics = k_means(texts, 3)
+    got = topics.of([*texts, None, "", "??"])
+    assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in range(120)) and got[120:] == ["none"] * 3
+    assert k_means([], 3).of(["snow"]) == ["none"] and len(set(k_means(["same words"] * 9, 3).of(["same words"]))) == 1
+
+
+def test_reachable_is_read_from_the_raked_weights(spark):
+    d = spark.createDataFrame([(i, "word " * 10, "en", "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, lang string, source string")
+    for repeats, reached in ((2.0, False), (4.0, True)):
+        target = spark.createDataFrame([("a", 0.7, 1.0), ("b", 0.3, repeats)], "source string, target_share double, max_repeats double")
+        _, plan = mixture_plan(d, target)
+        rows = {r.source: r for r in plan_report(spark, plan).collect()}
+        assert rows["a"].reachable and rows["b"].reachable is reached and rows["b"].planned_tokens == pytest.approx(min(1, repeats / 3) * 0.3 * plan.size)
+        assert {m["margin"] for m in plan.margins} == {"lang", "topic"}
+
+
 def test_tokens(spark):
     d = spark.createDataFrame([("the ridge", "x"), (None, "y"), ("", "z"), ("<|endoftext|>" + "a" * 100_000, "w")], "text string, `_text` string")
     t = {r["_text"]: r.tokens for r in with_tokens(d, "text", ["_text"]).collect()}
@@ -228,6 +257,6 @@ def test_residue_is_found_and_mentions_are_not(spark):
         assert r.agreed >= 0.95 * r["rows"]
 
 
-@pytest.mark.parametrize("name", ["p2_clusters", "p4_found", "p5_splits", "p6_found", "p7_found", "p8_report", "p9_validation"])
+@pytest.mark.parametrize("name", ["p2_clusters", "p4_found", "p5_splits", "p6_found", "p7_found", "p8_report", "p8_margins", "p9_validation"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
