@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screeline.operators.graph import min_label_components
-from screeline.operators.pairs import expit
+from screeline.operators.pairs import checked_cohort, expit
 from screeline.staging import Staging
 
 LARGEST_COHORT = 2_000
@@ -159,8 +159,9 @@ def hourly_counts(votes: DataFrame, voter: str = "voter", at: str = "received",
 
 
 def evaluation_pool(items: DataFrame, item: str, fraction: float = 0.2, seed: str = "pool") -> DataFrame:
-    """The pairs (a, b) of a bounded cohort reserved for evaluation: those with the least
-    digests, round(n * fraction) of them."""
+    """The pairs (a, b) of a cohort reserved for evaluation: those with the least digests,
+    round(n * fraction) of them; an error if the cohort is too large for its pairs."""
+    checked_cohort(items.select(item).distinct())
     a, b = items.select(F.col(item).alias("a")).distinct(), items.select(F.col(item).alias("b")).distinct()
     pairs = a.join(b, F.col("a") < F.col("b")).withColumn("_d", F.md5(F.concat_ws("|", F.lit(seed), "a", "b")))
     n = pairs.count()
@@ -180,17 +181,27 @@ def pair_priority(ids: list[str], component: dict[str, str], count: dict[str, in
     """(a, b, priority, probability) of a cohort's pairs: bridges between components, little
     compared, disputed and uncertain pairs and those of different groups come first; the
     probability is mixed with a uniform one."""
-    rows = []
-    for i, a in enumerate(ids):
-        for j in range(i + 1, len(ids)):
-            b = ids[j]
-            bridge = float(component.get(a, a) != component.get(b, b))
-            coverage = 1 / math.sqrt((1 + count.get(a, 0)) * (1 + count.get(b, 0)))
-            split = float(np.std(np.array(scores[a]) - np.array(scores[b]))) if a in scores and b in scores else 0.0
-            unsure = math.sqrt(max(0.0, covariance[i, i] + covariance[j, j] - 2 * covariance[i, j])) / math.sqrt(2 / l2) if covariance is not None else 0.0
-            differ = float(group.get(a) != group.get(b))
-            rows.append((a, b, (1 + bridge + coverage + min(split, 2) + unsure + 0.25 * differ) / (1 + pair_count.get((a, b), 0))))
-    p = pd.DataFrame(rows, columns=["a", "b", "priority"])
+    n, (i, j) = len(ids), np.triu_indices(len(ids), 1)
+    of = lambda known, default: np.array([known.get(r, default(r)) for r in ids], dtype=object)
+    part, team = of(component, lambda r: r), of(group, lambda r: None)
+    met = 1 + of(count, lambda r: 0).astype(float)
+    drawn = np.zeros((n, n))
+    place = {r: k for k, r in enumerate(ids)}
+    for (a, b), times in pair_count.items():
+        if a in place and b in place:
+            drawn[place[a], place[b]] = drawn[place[b], place[a]] = times
+    priority = 1 + (part[i] != part[j]) + 1 / np.sqrt(met[i] * met[j]) + 0.25 * (team[i] != team[j])
+    known = np.array([r in scores for r in ids], bool)
+    if known.any():  # models differ on a pair as much as their differences of its scores scatter
+        models = np.zeros((n, len(next(iter(scores.values())))))
+        models[known] = [scores[r] for r in ids if r in scores]
+        split = np.minimum((models[i] - models[j]).std(1), 2)
+        priority = priority + np.where(known[i] & known[j], split, 0)
+    if covariance is not None:
+        own = np.diag(covariance)
+        priority = priority + np.sqrt(np.maximum(0, own[i] + own[j] - 2 * covariance[i, j])) / math.sqrt(2 / l2)
+    names = np.array(ids, dtype=object)
+    p = pd.DataFrame({"a": names[i], "b": names[j], "priority": (priority / (1 + drawn[i, j])).astype(float)})
     if len(p):
         p["probability"] = mix / len(p) + (1 - mix) * p.priority / p.priority.sum()
     return p

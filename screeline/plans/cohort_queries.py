@@ -235,15 +235,14 @@ def experiment_grid(spark, folder):
         m, s = x[tr].mean(0), x[tr].std(0)
         z = (x - m) / np.where(s == 0, 1, s)
         ref, zf = z @ weights, z[:, kept[n]]
-        target = lambda rows: (pairs.triangle(len(rows)), pairs.expit(np.subtract(*ref[rows][pairs.triangle(len(rows))].T)))
-        ij, y = target(tr)
-        linear = pairs.fit_linear(zf[tr], ij, y, 1e-3)
-        theta, epoch = pairs.fit_neural(zf[tr], ij, y, seed=seed, validation=(zf[va], *target(va)))
-        scores = {"linear": zf[te] @ linear, "neural": pairs.neural_score(zf[te], theta), "constant": np.zeros(len(te))}
+        under = lambda rows: pairs.Comparisons.under(ref[rows])
+        linear = pairs.linear_weights(zf[tr], under(tr), 1e-3)
+        scorer, epoch = pairs.train_scorer(zf[tr], under(tr), seed, check=(zf[va], under(va)))
+        scores = {"linear": zf[te] @ linear, "neural": scorer(zf[te]), "constant": np.zeros(len(te))}
         rows = []
         for name, sc in scores.items():
-            e = pairs.metrics(sc, ref[te])
-            b = pairs.group_bootstrap(sc, ref[te], np.array(groups, dtype=object)[te].astype(str), seed=seed + 500) if name != "constant" else None
+            e = pairs.judged(sc, ref[te])
+            b = pairs.excess_interval(sc, ref[te], np.array(groups, dtype=object)[te].astype(str), seed=seed) if name != "constant" else None
             rows.append({"seed": seed, "features": n, "model": name, "epoch": epoch, **{k: e[k] for k in ("pairs", "loss", "excess", "squared_error", "accuracy", "spearman", "kendall")}, "excess_low": b[0] if b else None, "excess_high": b[1] if b else None})
         return pd.DataFrame(rows)
 
@@ -262,13 +261,12 @@ def final_ranks(spark, folder):
     for seed in (42, 43, 44):
         part = pairs.grouped_split(groups, seed)
         tr, va = part["train"], part["validation"]
-        pair = lambda rows: (pairs.triangle(len(rows)), pairs.expit(np.subtract(*ref[rows][pairs.triangle(len(rows))].T)))
-        epochs.append(pairs.fit_neural(z[tr], *pair(tr), seed=seed, validation=(z[va], *pair(va)))[1])
-    ij = pairs.triangle(len(ids))
-    y = pairs.expit(ref[ij[:, 0]] - ref[ij[:, 1]])
-    neural = pairs.neural_score(z, pairs.fit_neural(z, ij, y, seed=42, fixed=max(1, int(np.median(epochs))))[0])
+        under = lambda rows: pairs.Comparisons.under(ref[rows])
+        epochs.append(pairs.train_scorer(z[tr], under(tr), seed, check=(z[va], under(va)))[1])
+    every = pairs.Comparisons.under(ref)
+    neural = pairs.train_scorer(z, every, 42, epochs=max(1, int(np.median(epochs))))[0](z)
     place = lambda s: np.argsort(np.argsort(-s, kind="stable"), kind="stable") + 1
-    linear = z @ pairs.fit_linear(z, ij, y, 1e-3)
+    linear = z @ pairs.linear_weights(z, every, 1e-3)
     return stats.as_frame(spark, {"route_id": ids, "reference": place(ref), "linear": place(linear), "neural": place(neural), "linear_score": linear.round(6)})
 
 
@@ -277,8 +275,7 @@ def frozen_scores(spark, folder):
     """Every route's score under the linear model frozen on the cohort."""
     _, x, z = matrix(spark, folder)
     ref = z @ np.array(_score(MAIN))
-    ij = pairs.triangle(len(x))
-    w = pairs.fit_linear(z, ij, pairs.expit(ref[ij[:, 0]] - ref[ij[:, 1]]), 1e-3)
+    w = pairs.linear_weights(z, pairs.Comparisons.under(ref), 1e-3)
     s = x.std(0)
     v = values(spark, folder)
     score = pairs.linear_score(v, COLUMNS, x.mean(0).tolist(), np.where(s == 0, 1, s).tolist(), w.tolist())

@@ -103,14 +103,67 @@ def test_embedding_measures():
 def test_linear_scorer_recovers_its_target():
     rng = np.random.default_rng(0)
     z, w = rng.normal(size=(30, 3)), np.array([0.3, -0.4, 0.5])
-    ij = pairs.triangle(30)
-    y = pairs.expit((z @ w)[ij[:, 0]] - (z @ w)[ij[:, 1]])
-    e = pairs.metrics(z @ pairs.fit_linear(z, ij, y, 1e-8), z @ w)
-    assert e["excess"] < 1e-8 and e["spearman"] > 0.999 and e["accuracy"] == 1
-    flat = pairs.metrics(np.zeros(30), z @ w)
+    every = pairs.Comparisons.under(z @ w)
+    e = pairs.judged(z @ pairs.linear_weights(z, every, 1e-8), z @ w)
+    assert e["excess"] < 1e-8 and e["spearman"] > 0.999 and e["accuracy"] == 1 and e["pairs"] == 435
+    flat = pairs.judged(np.zeros(30), z @ w)
     assert flat["spearman"] is None and flat["accuracy"] == 0.5
-    theta, epoch = pairs.fit_neural(z, ij, y, rounds=200, seed=1, validation=(z, ij, y))
-    assert pairs.metrics(pairs.neural_score(z, theta), z @ w)["spearman"] > 0.9 and epoch > 1
+    scorer, epoch = pairs.train_scorer(z, every, 1, check=(z, every))
+    assert pairs.judged(scorer(z), z @ w)["spearman"] > 0.9 and epoch > 1
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    z, ref = rng.normal(size=(7, 3)), rng.normal(size=7)
+    every = pairs.Comparisons.under(ref, rng.integers(1, 4, 7))
+    s = rng.normal(size=7)
+    slope, laplacian = every.slope(s)
+    bump = np.eye(7) * 1e-5
+    assert np.allclose(slope, [(every.loss(s + d) - every.loss(s - d)) / 2e-5 for d in bump], atol=1e-8)
+    assert np.allclose(laplacian, [(every.slope(s + d)[0] - every.slope(s - d)[0]) / 2e-5 for d in bump], atol=1e-7)
+    scorer, mask = pairs.Scorer(3, 4, 5), rng.binomial(1, 0.7, (7, 4)) / 0.7
+
+    def penalised(flat):
+        into, offset, out = scorer.parts(flat)
+        return every.loss((np.tanh(z @ into + offset) * mask) @ out) + 0.05 * ((into**2).sum() + (out**2).sum())
+
+    base = scorer.flat.copy()
+    want = [(penalised(base + d) - penalised(base - d)) / 2e-5 for d in np.eye(len(base)) * 1e-5]
+    assert np.allclose(scorer.slope(z, every, mask, 0.1), want, atol=1e-7)
+
+
+def test_resamples_weigh_pairs_by_copies():
+    """The weighted pairs of a resample are the pairs of its rows, written out, but for a row's copies."""
+    rng = np.random.default_rng(2)
+    ref, s, copies = rng.normal(size=6), rng.normal(size=6), np.array([2, 0, 1, 3, 1, 0])
+    there = copies > 0
+    weighed = pairs.Comparisons.under(ref[there], copies[there])
+    rows = np.repeat(np.arange(6), copies)
+    plain = [(ref[i] - ref[j], s[i] - s[j]) for n, i in enumerate(rows) for j in rows[n + 1 :] if i != j]
+    assert weighed.pairs == len(plain)
+    assert weighed.loss(s[there]) == pytest.approx(np.mean([np.logaddexp(0, d) - d / (1 + np.exp(-r)) for r, d in plain]))
+    low, high = pairs.excess_interval(s, ref, np.array(list("aabbcc")), 50)
+    assert low <= high and pairs.excess_interval(s[:2], ref[:2], np.array(["a", "a"])) is None
+
+
+def test_rank_agreement_by_hand():
+    assert pairs.rank_agreement(np.array([1.0, 2, 3]), np.array([10.0, 20, 5])) == (pytest.approx(-0.5), pytest.approx(-1 / 3))
+    assert pairs.rank_agreement(np.array([1.0, 1, 3]), np.array([1.0, 2, 3]))[1] == pytest.approx(2 / math.sqrt(6))
+    assert pairs.rank_agreement(np.ones(3), np.arange(3.0)) == (None, None)
+
+
+def test_cohorts_too_large_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "LARGEST_COHORT", 3)
+    many = spark.createDataFrame([(f"r{i}", 1.0) for i in range(4)], "r string, x double")
+    for form in (lambda: pairs.unordered_pairs(many, "r", ["x"]), lambda: ratings.evaluation_pool(many, "r"), lambda: pairs.Comparisons.under(np.zeros(4))):
+        with pytest.raises(ValueError):
+            form()
+
+
+def test_neighbours_by_blocks_are_those_of_one():
+    x = np.random.default_rng(3).integers(0, 4, (50, 2)).astype(float)
+    assert (stats.exact_neighbours(x, 6, 7) == stats.exact_neighbours(x, 6)).all()
+    assert stats.neighbour_agreement(x, x, 4) == 1
 
 
 def test_grouped_split_keeps_groups():
