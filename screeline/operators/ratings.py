@@ -82,12 +82,18 @@ def elo_replay(votes: DataFrame, staging: Staging | None = None, initial: float
     return ordered.select("route_a", "route_b", "outcome").mapInArrow(fold, "item string, rating double, votes long")
 
 
-def cohort_votes(votes: DataFrame, cohort: DataFrame, item: str) -> tuple[list[str], pd.DataFrame]:
-    """(items, edges) of binary votes among a bounded cohort: per pair and outcome the voters'
-    weights, a voter's votes weighing 1 in all."""
+def cohort_items(cohort: DataFrame, item: str) -> list[str]:
+    """The items of a cohort in order; an error if they are more than ``LARGEST_COHORT``."""
     ids = [r[0] for r in cohort.select(item).filter(F.col(item).isNotNull()).distinct().orderBy(item).limit(LARGEST_COHORT + 1).collect()]
     if len(ids) > LARGEST_COHORT:
         raise ValueError(f"a cohort has at most {LARGEST_COHORT} items")
+    return ids
+
+
+def cohort_votes(votes: DataFrame, cohort: DataFrame, item: str) -> tuple[list[str], pd.DataFrame]:
+    """(items, edges) of binary votes among a bounded cohort: per pair and outcome the voters'
+    weights, a voter's votes weighing 1 in all."""
+    ids = cohort_items(cohort, item)
     inside = votes.filter(F.col("route_a").isin(ids) & F.col("route_b").isin(ids) & F.col("outcome").isin("A", "B"))
     share = inside.groupBy("voter", "route_a", "route_b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "A").alias("wins"))
     per_voter = share.groupBy(F.col("voter").alias("_v")).agg(F.sum("n").alias("_all"))
@@ -109,8 +115,10 @@ def fit_strengths(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, win: np.n
         np.add.at(h, (b, a), -curve)
         step = np.linalg.solve(h, g)
         s = s - step
-        if np.abs(step).max() < 1e-12:
+        if np.abs(step).max(initial=0.0) < 1e-12:
             break
+    else:
+        raise RuntimeError("the strengths did not settle")
     s = s - s.mean()
     flat = np.eye(n) - 1 / n
     return s, flat @ np.linalg.inv(h) @ flat

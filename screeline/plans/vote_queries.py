@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from screeline.operators import ratings
 from screeline.plans.catalog_queries import manifest, status
-from screeline.plans.registry import query
+from screeline.plans.registry import ORACLES, query
 from screeline.session import table
 from screeline.staging import Staging
 from screeline.streaming import votes as stream
@@ -92,12 +92,15 @@ def elo_replay(spark, folder):
     return r.select("item", F.round("rating", 6).alias("rating"), "votes")
 
 
-@query("elo_audit")
+@query("elo_audit", f"""WITH replayed AS ({_REPLAY}),
+both_ AS (SELECT e.route_id AS item, round(e.rating, 6) AS stored, coalesce(r.rating, 1500.0::DOUBLE) AS replayed, e.votes AS stored_votes, coalesce(r.votes, 0) AS votes FROM elo e LEFT JOIN replayed r ON r.item = e.route_id)
+SELECT * FROM both_ WHERE stored IS NULL OR abs(stored - replayed) > 1e-3 OR stored_votes <> votes""")
 def elo_audit(spark, folder):
     """Stored ratings against the replay, beyond rounding."""
     stored = table(spark, folder, "elo").select(F.col("route_id").alias("item"), F.col("rating").alias("stored"), F.col("votes").alias("stored_votes"))
     both = stored.join(ratings.elo_replay(qualified(spark, folder)), "item", "left")
     both = both.select("item", "stored", F.coalesce("rating", F.lit(1500.0)).alias("replayed"), "stored_votes", F.coalesce("votes", F.lit(0)).alias("votes"))
+    both = both.withColumn("stored", F.round("stored", 6)).withColumn("replayed", F.round("replayed", 6))
     return both.filter(F.col("stored").isNull() | (F.abs(F.col("stored") - F.col("replayed")) > 1e-3) | (F.col("stored_votes") != F.col("votes")))
 
 
@@ -142,7 +145,7 @@ def cohort_strengths(spark, folder):
 
 @query("cohort_bootstrap")
 def cohort_bootstrap(spark, folder):
-    ids = [r[0] for r in manifest(spark, folder).select("route_id").distinct().orderBy("route_id").limit(ratings.LARGEST_COHORT).collect()]
+    ids = ratings.cohort_items(manifest(spark, folder), "route_id")
     b = ratings.voter_bootstrap(qualified(spark, folder), ids)
     return b.select("item", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
@@ -197,30 +200,42 @@ def elo_ranks(spark, folder):
     return ranged.join(F.broadcast(before), "_p").select("route_id", "rating", (F.col("_before") + n).alias("place"))
 
 
+def _once_stream(spark, folder, staging, then=None, files=4):
+    """Runs the log through as a stream; what comes out is each row once."""
+    schema = table(spark, folder, "vote_events").schema
+    log = stream.OnceLog(spark, staging, schema, "id", "received", then)
+    stream.drain(stream.vote_stream(spark, f"{folder}/vote_events.parquet", schema, files), "log", "append", staging, log)
+    return log
+
+
 @query("stream_daily_votes", "SELECT date_trunc('day', received)::TIMESTAMP AS start, lane, count(DISTINCT id) AS events FROM vote_events GROUP BY ALL")
 def stream_daily_votes(spark, folder):
-    """Votes a day and lane, from the log read as a stream; repeats count once."""
-    schema = table(spark, folder, "vote_events").schema
-    s = stream.vote_stream(spark, f"{folder}/vote_events.parquet", schema).withColumn("received", F.date_trunc("day", F.col("received").cast("timestamp")))
-    counted = s.dropDuplicates(["id"]).groupBy(F.col("received").alias("start"), "lane").agg(F.count(F.lit(1)).alias("events"))
-    out = stream.drain(counted, "daily", "complete", Staging(spark, "stream"))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "lane", "events")
+    """Votes a day and lane, from the log read as a stream; repeats count once.  Each batch adds
+    its counts to a table that is summed at the end."""
+    staging = Staging(spark, "stream")
+    schema = "start timestamp_ntz, lane string, events long"
+    parts = spark.createDataFrame([], schema)
+
+    def count(new, number):
+        nonlocal parts
+        day = F.date_trunc("day", F.col("received").cast("timestamp")).cast("timestamp_ntz")
+        new.groupBy(day.alias("start"), "lane").agg(F.count(F.lit(1)).alias("events")).write.mode("overwrite").parquet(f"{staging.root}/daily/{number}")
+        parts = parts.unionByName(spark.read.schema(schema).parquet(f"{staging.root}/daily/{number}"))
+
+    _once_stream(spark, folder, staging, count)
+    return parts.groupBy("start", "lane").agg(F.sum("events").alias("events"))
 
 
 @query("stream_votes_once", "SELECT DISTINCT id, route_a, route_b FROM vote_events")
 def stream_votes_once(spark, folder):
-    """The log's events once each, appended by a stream whose watermark outlasts the log."""
-    schema = table(spark, folder, "vote_events").schema
-    s = stream.vote_stream(spark, f"{folder}/vote_events.parquet", schema)
-    return stream.drain(stream.once(s, "id", "received", "3650 days").select("id", "route_a", "route_b"), "once", "append", Staging(spark, "stream"))
+    """The log's events once each, by a stream."""
+    return _once_stream(spark, folder, Staging(spark, "stream")).log().select("id", "route_a", "route_b")
 
 
-@query("stream_elo")
+@query("stream_elo", ORACLES["elo_replay"])
 def stream_elo(spark, folder):
     """Running ratings after the log went by in micro-batches."""
-    schema = table(spark, folder, "vote_events").schema
     staging = Staging(spark, "stream")
     elo = stream.RunningElo(spark, staging)
-    s = ratings.qualified(stream.once(stream.vote_stream(spark, f"{folder}/vote_events.parquet", schema), "id", "received", "3650 days"))
-    stream.drain(s, "elo", "append", staging, elo)
-    return elo.ratings()
+    _once_stream(spark, folder, staging, lambda new, number: elo(ratings.qualified(new), number))
+    return elo.ratings().select("item", F.round("rating", 6).alias("rating"), "votes")

@@ -185,19 +185,36 @@ def test_answers_in_time(spark, tmp_path):
     assert [r.id for r in stream.drain(s, "timely", "append", Staging(spark, "t")).collect()] == ["1"]
 
 
-def test_running_elo_equals_the_replay(spark, tmp_path):
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 1, 0, 2]])
+def test_running_elo_equals_the_replay(spark, tmp_path, order):
+    """Files in order and shuffled, components that a later file joins, rows delivered again."""
     rng = np.random.default_rng(5)
-    v = votes(spark, [("v", f"r{a}", f"r{b}", o) for a, b, o in zip(rng.integers(0, 6, 60), rng.integers(6, 12, 60), rng.choice(["A", "B", "tie"], 60))])
-    for i in range(3):  # three files, read one after the other
-        v.filter(F.floor(F.col("seq") / 20) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
-        import time
-
-        time.sleep(1.1)
+    rows = [("v", f"r{a}", f"r{b}", o) for a, b, o in zip(rng.integers(0, 3, 30), rng.integers(3, 6, 30), rng.choice(["A", "B", "tie"], 30))]
+    rows += [("v", f"s{a}", f"s{b}", o) for a, b, o in zip(rng.integers(0, 3, 30), rng.integers(3, 6, 30), rng.choice(["A", "B", "tie"], 30))]
+    rows = [rows[i] for i in rng.permutation(60)] + [("v", "r1", "s1", "A")] + rows[:9] + [("v", "t1", "t2", "B")]
+    v = votes(spark, rows)
     staging = Staging(spark, "t")
     elo = stream.RunningElo(spark, staging)
-    stream.drain(stream.vote_stream(spark, str(tmp_path / "v"), v.schema, 1), "elo", "append", staging, elo)
-    got = {r["item"]: r.rating for r in elo.ratings().collect()}
-    assert got == pytest.approx({r["item"]: r.rating for r in ratings.elo_replay(v).collect()})
+    log = stream.OnceLog(spark, staging, v.schema, "id", "received", lambda new, n: elo(ratings.qualified(new), n))
+    for n, i in enumerate(order):
+        part = v.filter(F.floor(F.col("seq") / 18) == i)
+        log(part.unionByName(v.filter("seq % 25 = 0")) if n else part, n)
+    log(part, n)  # the last batch is run again after a failure
+    log(v, n + 1)
+    got = {r["item"]: (pytest.approx(r.rating), r.votes) for r in elo.ratings().collect()}
+    assert got == {r["item"]: (r.rating, r.votes) for r in ratings.elo_replay(v).collect()} and len(got) == 14
+    assert log.log().count() == v.count()
+
+
+def test_stream_of_files_is_drained_once(spark, tmp_path):
+    v = votes(spark, [("v", "a", "b", "A"), ("w", "a", "c", "B"), ("v", "b", "c", "tie")])
+    v = v.withColumn("received", F.when(F.col("seq") > 0, F.col("received")))
+    for part in (v, v.filter("seq > 0"), v.limit(0)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    staging = Staging(spark, "t")
+    log = stream.OnceLog(spark, staging, v.schema, "id", "received")
+    stream.drain(stream.vote_stream(spark, str(tmp_path / "v"), v.schema, 1), "log", "append", staging, log)
+    assert sorted(r.id for r in log.log().collect()) == ["e0", "e1", "e2"]
 
 
 def test_repetitions_are_those_of_the_reference(monkeypatch):
