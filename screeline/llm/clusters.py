@@ -32,6 +32,57 @@ def _covers(low: Column, high: Column, width: float, reach: float) -> Column:
     return F.sequence(F.floor((low - reach) / width), F.floor((high + reach) / width))
 
 
+def _met(inside: DataFrame, smooth: int, side: float, radius: float, heavy: int, staging: Staging) -> DataFrame:
+    """(u, v): the open pairs (a, b) of which some two members lie within the radius.
+
+    ``inside`` is (a, b, left, x0, ...), the members that may.  Pairs of few members are compared
+    outright.  Of the others each side is one box, then its halves along each axis, and so on:
+    two boxes whose farthest points are near enough decide their pair, two whose nearest are not
+    drop out, the rest is halved, or compared outright once it is small.
+    """
+    limit = radius * radius
+    axes = range(smooth)
+    sides = inside.groupBy("a", "b").agg(F.count_if("left").alias("n"), F.count_if(~F.col("left")).alias("m"))
+    sides = sides.filter("n > 0 and m > 0").select("a", "b", (F.col("n") * F.col("m") > heavy).alias("big"))
+    sides = staging.put("sides", sides)
+
+    def compared(points: DataFrame, key: list[str], pairs: DataFrame) -> DataFrame:
+        one = points.filter("left").drop("left").join(pairs.select("a", "b", *[F.col(f"p{c}").alias(c) for c in key], *[f"o{c}" for c in key]), ["a", "b", *key])
+        two = points.filter("not left").select("a", "b", *[F.col(c).alias(f"o{c}") for c in key], *[F.col(f"x{i}").alias(f"y{i}") for i in axes])
+        met = one.join(two, ["a", "b", *[f"o{c}" for c in key]]).filter(_sum([_square(F.col(f"x{i}") - F.col(f"y{i}")) for i in axes]) <= limit)
+        return met.select("a", "b").distinct()
+
+    found = compared(inside, [], sides.filter("not big").select("a", "b"))
+    open_pairs = staging.put("open-0", sides.filter("big").select("a", "b"))
+    level, parts = 0, [found]
+    keys = [f"k{i}" for i in axes]
+    while not open_pairs.isEmpty():
+        level += 1
+        width = side / 2 ** (level - 1)
+        points = inside.join(open_pairs.select("a", "b").distinct(), ["a", "b"]).withColumns({f"k{i}": F.floor(F.col(f"x{i}") / width) for i in axes})
+        boxes = points.groupBy("a", "b", "left", *keys).agg(F.count(F.lit(1)).alias("n"), *[f(f"x{i}").alias(f"{c}{i}") for i in axes for c, f in (("l", F.min), ("h", F.max))])
+        boxes = staging.put(f"boxes-{level}", boxes)
+        up = [f"u{i}" for i in axes] if level > 1 else []
+        lifted = boxes.withColumns({f"u{i}": F.floor(F.col(f"k{i}") / 2) for i in axes})
+        left = lifted.filter("left").select("a", "b", *[F.col(u).alias(f"p{u}") for u in up], F.col("n").alias("pn"), *[F.col(f"{c}{i}").alias(f"p{c}{i}") for i in axes for c in "klh"])
+        right = lifted.filter("not left").select("a", "b", *[F.col(u).alias(f"o{u}") for u in up], F.col("n").alias("on"), *[F.col(f"{c}{i}").alias(f"o{c}{i}") for i in axes for c in "klh"])
+        parents = open_pairs.select("a", "b", *[F.col(f"{q}k{u[1:]}").alias(f"{q}{u}") for u in up for q in "po"])
+        both = parents.join(left, ["a", "b", *[f"p{u}" for u in up]]).join(right, ["a", "b", *[f"o{u}" for u in up]])
+        apart = _sum([_square(F.greatest(F.lit(0.0), F.col(f"ol{i}") - F.col(f"ph{i}"), F.col(f"pl{i}") - F.col(f"oh{i}"))) for i in axes])
+        across = _sum([_square(F.greatest(F.col(f"oh{i}") - F.col(f"pl{i}"), F.col(f"ph{i}") - F.col(f"ol{i}"))) for i in axes])
+        both = both.withColumn("near", apart).withColumn("far", across).filter(F.col("near") <= limit)
+        both = staging.put(f"both-{level}", both.select("a", "b", "pn", "on", "far", *[f"{q}{k}" for k in keys for q in "po"]))
+        sure = staging.put(f"sure-{level}", both.filter(F.col("far") <= limit).select("a", "b").distinct())
+        rest = both.filter(F.col("far") > limit).join(sure, ["a", "b"], "left_anti")
+        small = rest.filter(F.col("pn") * F.col("on") <= heavy)
+        parts += [sure, compared(points, keys, small)]
+        open_pairs = staging.put(f"open-{level}", rest.filter(F.col("pn") * F.col("on") > heavy))
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    return total.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
 def grid_clusters(
     vectors: DataFrame,
     item: str,
@@ -42,6 +93,7 @@ def grid_clusters(
     stepped: int = 0,
     least: int = 5,
     anchors: int = 3,
+    heavy: int = 10_000,
     staging: Staging | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, cells) of the clusters of at least ``least`` vectors.
@@ -112,10 +164,7 @@ def grid_clusters(
     off = [F.greatest(F.lit(0.0), F.col(f"l{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"h{i}")) for i in range(smooth)]
     inside = inside.filter(_sum([_square(c) for c in off]) <= limit).select("a", "b", "left", *[f"x{i}" for i in range(smooth)]).distinct()
     inside = staging.put("inside", inside)
-    one = inside.filter("left").drop("left")
-    two = inside.filter("not left").select("a", "b", *[F.col(f"x{i}").alias(f"y{i}") for i in range(smooth)])
-    met = one.join(two, ["a", "b"]).filter(_sum([_square(F.col(f"x{i}") - F.col(f"y{i}")) for i in range(smooth)]) <= limit)
-    met = met.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    met = _met(inside, smooth, side, radius, heavy, staging)
     # what the sure links joined counts as one node from here on
     links = sure.unionByName(met)
     labels = min_label_components(links, staging, name="all")

@@ -126,10 +126,10 @@ def pairwise_strengths(
     ridge: float = 0.1,
     blocks: int = 6,
     block_edges: int = 2_000_000,
-    rounds: int = 12,
+    rounds: int = 40,
     settled: float = 0.01,
     tolerance: float = 0.01,
-    steps: int = 60,
+    steps: int = 400,
     staging: Staging | None = None,
 ) -> DataFrame:
     """(item, strength, votes, wins, cyclic): every compared item with its strength in log-odds.
@@ -141,7 +141,8 @@ def pairwise_strengths(
     the item's weighted squared margins that the first solution leaves unexplained, the part
     that runs in cycles: 0 where all margins add up.
 
-    An empty table gives an empty result.
+    An empty table gives an empty result.  Conjugate gradient that needs more than ``steps`` steps
+    or reweighting that needs more than ``rounds`` rounds is an error, not a result.
     """
     spark = pairs.sparkSession
     staging = staging or Staging(spark, "pairwise")
@@ -227,11 +228,15 @@ def pairwise_strengths(
             gamma = now
             if now <= tolerance * gamma0 and step or not alpha:
                 break
+        else:
+            raise RuntimeError(f"conjugate gradient did not reach {tolerance} of its first residual in {steps} steps")
         sent = both(matrix, state, moved, _SENT)
         state = staging.put("state", both(matrix, sent, reweighted, _STATE + ", w binary"))
         weighted.unpersist()
         if turn and state.agg(F.max("most")).collect()[0][0] <= settled:
             break
+    else:
+        raise RuntimeError(f"strengths still move by more than {settled} after {rounds} rounds")
 
     def result(m: pa.Table, state: pa.Table) -> pa.Table:
         b = _Block(m, state.to_pylist()[0])

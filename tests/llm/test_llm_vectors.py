@@ -40,6 +40,17 @@ def test_clusters_are_the_chains(spark, seed):
     assert set(report) == set(want.values()) and all(1 <= len(r.typical) <= 3 and all(want[t] == h for t in r.typical) for h, r in report.items())
 
 
+@pytest.mark.parametrize("heavy", [1, 30])
+def test_clusters_by_halved_boxes(spark, heavy):
+    """The same chains where pairs of cells are halved down to a few members."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(0, 5, (120, 2)), rng.normal(2, 0.2, (120, 2)), rng.normal([2.9, 2], 0.15, (120, 2)), np.repeat([[4.4, 4.4]], 30, 0)])
+    members, _ = grid_clusters(frame(spark, x), "id", "x", radius=0.3, dims=2, least=3, heavy=heavy)
+    label = chains(x, 0.3)
+    want = {f"{i:05}": f"{c:05}" for i, c in enumerate(label) if (label == c).sum() >= 3}
+    assert {r.id: r.head for r in members.collect()} == want
+
+
 def test_clusters_without_steps_nulls_and_empty(spark):
     d = frame(spark, np.zeros((6, 2)), [("n", None), (None, [0.0, 0.0])])
     members, _ = grid_clusters(d, "id", "x", radius=1.0, dims=2, least=5)
