@@ -9,6 +9,7 @@ nearer one, and only these are searched too.  The shards' results are merged.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -29,12 +30,11 @@ def kd_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]
     """
     nodes: list = [None]
     open_leaves = {0: np.arange(len(sample))}
-    shut: set[int] = set()
-    while len(open_leaves) < leaves:
-        ready = [i for i in open_leaves if i not in shut and len(open_leaves[i]) >= 2]
-        if not ready:
+    ready = [(-len(sample), 0)]  # a heap: the largest leaf first
+    while len(open_leaves) < leaves and ready:
+        size, at = heapq.heappop(ready)
+        if size > -2:
             break
-        at = max(ready, key=lambda i: (len(open_leaves[i]), -i))
         rows = open_leaves[at]
         spread = np.subtract(*np.percentile(sample[rows], [90, 10], axis=0))
         for axis in np.argsort(-spread, kind="stable"):
@@ -49,10 +49,10 @@ def kd_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]
             nodes[at] = (int(axis), float(cut), len(nodes), len(nodes) + 1)
             nodes += [None, None]
             del open_leaves[at]
-            open_leaves[len(nodes) - 2], open_leaves[len(nodes) - 1] = rows[below], rows[~below]
+            for child, part in ((len(nodes) - 2, rows[below]), (len(nodes) - 1, rows[~below])):
+                open_leaves[child] = part
+                heapq.heappush(ready, (-len(part), child))
             break
-        else:
-            shut.add(at)
     for shard, leaf in enumerate(sorted(open_leaves)):
         nodes[leaf] = (-1, float(shard), 0, 0)
     return nodes
@@ -91,6 +91,35 @@ def _graph(row: dict, dims: int, m: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return x, layers
 
 
+def node_boxes(nodes: list[tuple[int, float, int, int]], low: dict[int, np.ndarray], high: dict[int, np.ndarray], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of every node's box, from those of the leaves' points; a leaf without points
+    is nowhere."""
+    lows, highs = np.full((len(nodes), dims), np.inf), np.full((len(nodes), dims), -np.inf)
+    for at in range(len(nodes) - 1, -1, -1):  # children stand behind their parent
+        axis, leaf, left, right = nodes[at]
+        if axis < 0:
+            lows[at], highs[at] = low.get(int(leaf), lows[at]), high.get(int(leaf), highs[at])
+        else:
+            lows[at], highs[at] = np.minimum(lows[left], lows[right]), np.maximum(highs[left], highs[right])
+    return lows, highs
+
+
+def reached_leaves(x: np.ndarray, reach: np.ndarray, nodes: list[tuple[int, float, int, int]], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf): the leaves whose box lies within each row's squared reach, found down the
+    tree: no row meets boxes below one that it doesn't reach."""
+    axis, leaf, left, right = (np.array(c) for c in zip(*nodes))
+    rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(rows):
+        off = np.maximum(0, np.maximum(low[at] - x[rows], x[rows] - high[at]))
+        near = (off * off).sum(1) < reach[rows]
+        rows, at = rows[near], at[near]
+        end = axis[at] < 0
+        found.append((rows[end], leaf[at[end]].astype(np.int64)))
+        rows, at = np.repeat(rows[~end], 2), np.stack([left[at[~end]], right[at[~end]]], 1).ravel()
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     item: str,
@@ -106,14 +135,16 @@ def nearest_neighbours(
     shards: int = 12,
     shard_rows: int = 50_000,
     sample: int = 20_000,
+    sample_shard: int = 64,
     staging: Staging | None = None,
 ) -> DataFrame:
     """(item, neighbours): each item with its k nearest others, an array of (d, id) by
     distance and then id, d being the Euclidean distance.
 
     All items are indexed and looked up.  ``shards`` is the least number of shards, one more
-    is made for every ``shard_rows`` points; the tree that cuts them is fitted on ``sample``
-    points at most.  ``search_width`` and ``probe_width`` are how many candidates a search keeps
+    is made for every ``shard_rows`` points; the tree that cuts them is fitted on at
+    most ``sample`` points or ``sample_shard`` for each shard, whichever is more, and a leaf that
+    turns out to hold over three times ``shard_rows`` points is cut into shards by hash.  ``search_width`` and ``probe_width`` are how many candidates a search keeps
     in the point's own shard and in others.  Another shard is left out where its bounding box is farther than the k-th
     distance found so far / (1 + ``slack``): what it could improve is then within that factor.
     Items with equal vectors are each other's neighbours at distance 0, the least ids first.
@@ -130,17 +161,29 @@ def nearest_neighbours(
     total = points.count()
     if not total:
         return spark.createDataFrame([], f"`{item}` string, neighbours array<struct<d:double,id:string>>")
+    cut = max(shards, math.ceil(total / shard_rows))
+    sample = max(sample, sample_shard * cut)
     # about twice the sample is asked for, so that no task sends more than its part of that
     drawn = points.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(2_000_000 * sample / total))
     some = drawn.select("x").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["x"]
-    nodes = kd_tree(np.array(some.tolist()), max(shards, math.ceil(total / shard_rows)))
+    nodes = kd_tree(np.array(some.tolist()), cut)
     leaves = sum(a < 0 for a, *_ in nodes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(_matrix(b.column("x"), dims), nodes)), b.column("id"), b.column("x"), b.column("h")], ["shard", "id", "x", "h"])
-
-    placed = points.select("id", "x", F.xxhash64("id").alias("h")).mapInArrow(place, "shard int, id string, x array<double>, h long")
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(_matrix(b.column("x"), dims), nodes)), b.column("id"), b.column("x"), b.column("h")], ["leaf", "id", "x", "h"])
+
+    placed = points.select("id", "x", F.xxhash64("id").alias("h")).mapInArrow(place, "leaf int, id string, x array<double>, h long")
+    placed = staging.put("placed", placed)
+    large = {r["leaf"]: math.ceil(r["count"] / shard_rows) for r in placed.groupBy("leaf").count().filter(F.col("count") > 3 * shard_rows).collect()}  # at most a row a leaf
+    pieces = np.array([large.get(i, 1) for i in range(leaves)])
+    first = np.concatenate([[0], np.cumsum(pieces)])  # the shards of leaf i begin at first[i]
+    shard = F.col("leaf")
+    if large:
+        of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("leaf") + 1)
+        shard = of(first[:-1]) + F.pmod(F.hash("h"), of(pieces))
+    placed = placed.select(shard.cast("int").alias("shard"), "id", "x", "h")
+    leaves = int(first[-1])
 
     def index(t: pa.Table) -> pa.Table:
         x, h = _matrix(t["x"], dims), t["h"].to_numpy()
@@ -170,8 +213,16 @@ def nearest_neighbours(
     built = placed.repartitionByRange(leaves, "shard").groupBy("shard").applyInArrow(index, INDEX)
     built = staging.put("index", built)
     boxes = built.select("shard", "low", "high").collect()  # a row a shard, at most sample / 2 or total / shard_rows
-    number_of = np.array([b["shard"] for b in boxes])
-    low, high = np.array([b["low"] for b in boxes]), np.array([b["high"] for b in boxes])
+    leaf_low: dict[int, np.ndarray] = {}
+    leaf_high: dict[int, np.ndarray] = {}
+    there = {b["shard"] for b in boxes}
+    for b in boxes:
+        leaf = int(np.searchsorted(first, b["shard"], side="right")) - 1
+        leaf_low[leaf] = np.minimum(leaf_low.get(leaf, np.inf), b["low"])
+        leaf_high[leaf] = np.maximum(leaf_high.get(leaf, -np.inf), b["high"])
+    low, high = node_boxes(nodes, leaf_low, leaf_high, dims)
+
+    known = np.array(sorted(there))
 
     def own_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,14 +237,14 @@ def nearest_neighbours(
                 reach = np.frombuffer(row["dist"], np.float64).reshape(-1, k)[:, -1]
                 for s in range(0, len(x), 4096):
                     part = x[s : s + 4096]
-                    off = np.maximum(0, np.maximum(low[None] - part[:, None], part[:, None] - high[None]))
-                    box = (off * off).sum(2)
-                    go = box < (reach[s : s + 4096] / (1 + slack) ** 2)[:, None]
-                    go[:, number_of == row["shard"]] = False
-                    r, c = np.nonzero(go)
+                    r, leaf = reached_leaves(part, reach[s : s + 4096] / (1 + slack) ** 2, nodes, low, high)
+                    many = pieces[leaf]
+                    r, c = np.repeat(r, many), np.repeat(first[leaf], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    other = (c != row["shard"]) & np.isin(c, known)
+                    r, c = r[other], c[other]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(number_of[c], pa.int32()),
+                            pa.array(c, pa.int32()),
                             pa.array([row["ids"][i] for i in r + s], pa.string()),
                             pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * dims, pa.int32()), pa.array(part[r].ravel())),
                             pa.array(reach[s + r]),

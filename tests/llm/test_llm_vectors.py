@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from screeline.llm import hnsw
 from screeline.llm.clusters import cluster_report, grid_clusters
-from screeline.llm.neighbors import kd_tree, mutual_pairs, nearest_neighbours, shard_of
+from screeline.llm.neighbors import kd_tree, mutual_pairs, nearest_neighbours, node_boxes, reached_leaves, shard_of
 from screeline.llm.vectors import route_vectors
 
 
@@ -66,6 +66,29 @@ def brute(x, k):
     return order, np.take_along_axis(d, order, 1)
 
 
+def test_boxes_down_the_tree_are_all_boxes():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (500, 3))
+    nodes = kd_tree(x, 9)
+    leaf = shard_of(x, nodes)
+    low, high = {int(i): x[leaf == i].min(0) for i in set(leaf) - {4}}, {int(i): x[leaf == i].max(0) for i in set(leaf) - {4}}
+    reach = rng.uniform(0, 1, 500)
+    r, c = reached_leaves(x, reach, nodes, *node_boxes(nodes, low, high, 3))
+    want = {(i, j) for i in range(500) for j in low if (np.maximum(0, np.maximum(low[j] - x[i], x[i] - high[j])) ** 2).sum() < reach[i]}
+    assert set(zip(r.tolist(), c.tolist())) == want and len(r) == len(want)
+
+
+def test_leaves_that_turn_out_large_are_cut(spark):
+    """A dense cloud that a tiny sample misses: its leaf becomes several shards."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 3, (60, 3)), rng.normal(9, 0.1, (540, 3))])
+    near = nearest_neighbours(frame(spark, x), "id", "x", dims=3, k=4, shards=2, shard_rows=100, sample=6, sample_shard=1)
+    want, far = brute(x, 4)
+    got = {r.id: [(n.d, n.id) for n in r.neighbours] for r in near.collect()}
+    hits = sum(len({n for _, n in got[f"{i:05}"]} & {f"{j:05}" for j in w}) for i, w in enumerate(want))
+    assert len(got) == 600 and hits > 0.97 * 2400
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (1500, 6)), rng.normal(8, 0.05, (500, 6))])
