@@ -185,10 +185,11 @@ def unseen_pairs(pairs: DataFrame, votes: DataFrame, voters: DataFrame) -> DataF
     return voters.select("voter").distinct().join(seen, "voter", "left").select("voter", (F.lit(total) - F.coalesce("_seen", F.lit(0))).alias("unseen"))
 
 
-def pair_priority(ids: list[str], component: dict[str, str], count: dict[str, int], pair_count: dict[tuple, int], group: dict[str, str], covariance: np.ndarray | None, scores: dict[str, list[float]], l2: float = 1.0, mix: float = 0.2) -> pd.DataFrame:
+def pair_priority(ids: list[str], component: dict[str, str], count: dict[str, int], pair_count: dict[tuple, int], group: dict[str, str], covariance: np.ndarray | None, scores: dict[str, list[float]], l2: float = 1.0, mix: float = 0.2, reserved: set[tuple] = frozenset()) -> pd.DataFrame:
     """(a, b, priority, probability) of a cohort's pairs: bridges between components, little
     compared, disputed and uncertain pairs and those of different groups come first; the
-    probability is mixed with a uniform one."""
+    probability is mixed with a uniform one.  ``reserved`` pairs (a, b), a < b, are for evaluation
+    and left out."""
     n, (i, j) = len(ids), np.triu_indices(len(ids), 1)
     of = lambda known, default: np.array([known.get(r, default(r)) for r in ids], dtype=object)
     part, team = of(component, lambda r: r), of(group, lambda r: None)
@@ -210,6 +211,8 @@ def pair_priority(ids: list[str], component: dict[str, str], count: dict[str, in
         priority = priority + np.sqrt(np.maximum(0, own[i] + own[j] - 2 * covariance[i, j])) / math.sqrt(2 / l2)
     names = np.array(ids, dtype=object)
     p = pd.DataFrame({"a": names[i], "b": names[j], "priority": (priority / (1 + drawn[i, j])).astype(float)})
+    if reserved:
+        p = p[[(a, b) not in reserved for a, b in zip(p.a, p.b)]].reset_index(drop=True)
     if len(p):
         p["probability"] = mix / len(p) + (1 - mix) * p.priority / p.priority.sum()
     return p

@@ -81,6 +81,13 @@ def _sum(weights: dict[str, float]) -> str:
     return " + ".join(f"{w!r}::DOUBLE * {c}" for c, w in zip(COLUMNS, _score(weights)))
 
 
+def scenario_scores(spark, folder):
+    """(route_id, main, steep): the cohort's scores under both weight scenarios."""
+    z = stats.zscores(cohort(spark, folder), "route_id", COLUMNS)
+    total = lambda ws: sum((F.lit(w) * F.col(c) for c, w in zip(COLUMNS[1:], ws[1:])), F.lit(ws[0]) * F.col(COLUMNS[0]))
+    return z.select("route_id", total(_score(MAIN)).alias("main"), total(_score(STEEP)).alias("steep"))
+
+
 @query(
     "reference_scores",
     f"""WITH {_COHORT}, {_z('cohort')}, s AS (SELECT route_id, {_sum(MAIN)} AS main, {_sum(STEEP)} AS steep FROM z),
@@ -89,9 +96,7 @@ SELECT route_id, round(main, 6) AS score, rm::INT AS place, least(rm, rs)::INT A
 )
 def reference_scores(spark, folder):
     """The cohort's reference score, place, and places over the weight scenarios."""
-    z = stats.zscores(cohort(spark, folder), "route_id", COLUMNS)
-    total = lambda ws: sum((F.lit(w) * F.col(c) for c, w in zip(COLUMNS[1:], ws[1:])), F.lit(ws[0]) * F.col(COLUMNS[0]))
-    s = z.select("route_id", total(_score(MAIN)).alias("main"), total(_score(STEEP)).alias("steep"))
+    s = scenario_scores(spark, folder)
     place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "route_id"))  # noqa: E731 - a bounded cohort
     r = s.withColumn("rm", place("main")).withColumn("rs", place("steep"))
     return r.select("route_id", F.round("main", 6).alias("score"), F.col("rm").alias("place"), F.least("rm", "rs").alias("best_place"), F.greatest("rm", "rs").alias("worst_place"))

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from screeline.operators import ratings
+from screeline.operators.pairs import checked_cohort
 from screeline.plans.catalog_queries import manifest, status
+from screeline.plans.cohort_queries import scenario_scores
 from screeline.plans.registry import ORACLES, query
 from screeline.session import table
 from screeline.staging import Staging
@@ -121,6 +123,7 @@ seen AS (SELECT voter, count(*) AS n FROM done SEMI JOIN pairs USING (a, b) GROU
 SELECT v.voter, (SELECT count(*) FROM pairs) - coalesce(n, 0) AS unseen FROM (SELECT DISTINCT voter FROM once WHERE voter IS NOT NULL) v LEFT JOIN seen USING (voter)""")
 def unseen_pairs(spark, folder):
     m = manifest(spark, folder).select("route_id").distinct()
+    checked_cohort(m)
     pairs = m.select(F.col("route_id").alias("a")).join(m.select(F.col("route_id").alias("b")), F.col("a") < F.col("b"))
     v = once(spark, folder)
     return ratings.unseen_pairs(pairs, v, v.filter("voter is not null"))
@@ -152,7 +155,8 @@ def cohort_bootstrap(spark, folder):
 
 @query("pair_priority")
 def pair_priority(spark, folder):
-    """Priority and draw probability of the manifest's pairs."""
+    """Priority and draw probability of the manifest's pairs that aren't reserved for evaluation;
+    models that disagree on a pair, the scores of both weight scenarios, raise it."""
     import numpy as np
 
     q = qualified(spark, folder)
@@ -168,7 +172,9 @@ def pair_priority(spark, folder):
     component = {r["item"]: r["component"] for r in ratings.vote_components(inside, Staging(spark, "votes")).collect()}
     count = {r["item"]: r["comparisons"] for r in vote_counts(spark, folder).filter(F.col("item").isin(ids)).collect()}
     group = {r[0]: r[1] for r in status(spark, folder).filter(F.col("route_id").isin(ids)).select("route_id", "evaluation_group").collect()}
-    p = ratings.pair_priority(ids, component, count, pair_count, group, cov if len(a) else None, {})
+    scores = {r.route_id: [r.main, r.steep] for r in scenario_scores(spark, folder).filter(F.col("route_id").isin(ids)).collect()}
+    pool = {(r.a, r.b) for r in ratings.evaluation_pool(manifest(spark, folder), "route_id").collect()}  # of a cohort's pairs
+    p = ratings.pair_priority(ids, component, count, pair_count, group, cov if len(a) else None, scores, reserved=pool)
     return spark.createDataFrame(p.round({"priority": 9, "probability": 9}), "a string, b string, priority double, probability double")
 
 
