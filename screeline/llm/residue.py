@@ -312,18 +312,19 @@ def find_residue(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     return found.select(F.col("doc").alias(doc_id), F.round("residue", 6).alias("residue"), "field")
 
 
-def validate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning()) -> DataFrame:
+def validate(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "route_id", how: Learning = Learning(), sure: float = 0.6, sure_field: float = 0.5) -> DataFrame:
     """(kind, family, rows, agreed, without): of the labelled passages of hosts that the fit did
     not see, how many the classifier puts on their label's side, and of all of the family's
     passages the share that a classifier finds which was fitted without that family's labels."""
     sample = weak_sample(_narrow(documents, doc_id, text, host), how)
     model = learn(sample, how)
     out = []
-    for kind, fitted in (("text", model.text), ("spot", model.spot)):
+    for kind, fitted, p in (("text", model.text, sure), ("spot", model.spot, sure_field)):
+        least = float(np.log(p / (1 - p)))
         for family in sorted({r["family"] for r in sample if r["kind"] == kind and r["family"]}):
             mine = [r for r in sample if r["kind"] == kind and r["family"] == family]
             unseen = [r for r in mine if r["host"] < how.held_out]
-            right = lambda m, rows, side=family != "content": int(((m.scores(Rows.of([r["features"] for r in rows])) > 0) == side).sum()) if m else 0
+            right = lambda m, rows, side=family != "content", least=least: int(((m.scores(Rows.of([r["features"] for r in rows])) >= least) == side).sum()) if m else 0
             without = None
             if family != "content":
                 other = _fitted([r for r in sample if r["host"] >= how.held_out], kind, how, family)
