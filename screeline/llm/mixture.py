@@ -101,7 +101,7 @@ def rake(cells: list[dict], shares: dict[str, float], repeats: dict[str, float],
     return weight
 
 
-def mixture_plan(documents: DataFrame, target: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tokenizer: str = BYTE_BPE, topics: int = 8, topic_sample: int = 4_000, size: float | None = None, rare: float = 0.001, staging: Staging | None = None) -> tuple[DataFrame, Plan]:
+def mixture_plan(documents: DataFrame, target: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", tokenizer: str = BYTE_BPE, topics: int = 8, size: float | None = None, rare: float = 0.001, staging: Staging | None = None) -> tuple[DataFrame, Plan]:
     """(counted, plan): the documents with source, lang, topic and tokens, and the plan of a
     mixture of ``size`` tokens (those of all documents by default).
 
@@ -112,9 +112,10 @@ def mixture_plan(documents: DataFrame, target: DataFrame, *, doc_id: str = "doc_
     """
     staging = staging or Staging(documents.sparkSession, "mixture")
     rows = documents.withColumn("_source", F.coalesce(clean_source(F.col(f"`{source}`")), F.lit(""))).withColumn("_lang", clean_language(F.col(f"`{lang}`")))
-    known = learn_topics(documents, doc_id, text, topics, topic_sample)
-    counted = with_tokens(rows, text, [doc_id, "_source", "_lang"], tokenizer, known)
-    counted = staging.put("counted", counted.select(F.col(f"`{doc_id}`").alias("doc"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "tokens"))
+    sized = with_tokens(rows, text, [doc_id, "_source", "_lang"], tokenizer, words=True)
+    sized = staging.put("sized", sized.select(F.col(f"`{doc_id}`").alias("doc"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), "tokens", "words"))
+    counted = staging.put("counted", learn_topics(sized, "words", topics).label(sized, "words"))
+    staging.drop("sized")
     recipe = target.select(clean_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("double").alias("repeats"))
     recipe = recipe.filter("source is not null").groupBy("source").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("repeats"), F.lit(0.0)).alias("repeats"))
     named = recipe.limit(LARGEST_RECIPE + 1).collect()

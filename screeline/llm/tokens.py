@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screeline.llm.topics import Topics
+from screeline.llm.topics import packed_words
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that splits text before the merges of the rank files
@@ -29,9 +29,9 @@ def _encoding(ranks: bytes):
     return _built[key]
 
 
-def with_tokens(documents: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE, topics: Topics | None = None) -> DataFrame:
+def with_tokens(documents: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE, words: bool = False) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the tokens of the whole text (0 for null texts), and
-    its ``topic`` if ``topics`` are given.
+    its distinct hashed words, packed as for topics (null for null texts), if ``words`` is set.
 
     The driver reads the vocabulary file, of 64 MB at most, and sends it to the tasks, so the
     workers need no copy of it.
@@ -41,21 +41,20 @@ def with_tokens(documents: DataFrame, text: str, keep: list[str], path: str = BY
     if len(ranks) > _LARGEST_FILE:
         raise ValueError(f"{path} is larger than {_LARGEST_FILE} bytes")
     sent = documents.sparkSession.sparkContext.broadcast(ranks)
-    known = documents.sparkSession.sparkContext.broadcast(topics) if topics else None  # a few hundred kilobytes
-    extra = ["topic"] if topics else []
+    extra = ["words"] if words else []
     names = [f"_k{i}" for i in range(len(keep))]
-    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(sent.value)
         for b in batches:
             texts = b.column("_text").to_pylist()
-            size = [len(x) for x in encoding.encode_ordinary_batch(texts, num_threads=1)]
-            more = [pa.array(known.value.of(texts), pa.string())] if known else []
+            size = [len(x) for x in encoding.encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
+            more = [pa.array(packed_words(texts), pa.binary())] if words else []
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(size, pa.int64()), *more], [*names, "tokens", *extra])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[T.StructField(n, rows.schema[n].dataType) for n in names], T.StructField("tokens", T.LongType()), *[T.StructField(n, T.StringType()) for n in extra]])
+    schema = T.StructType([*[T.StructField(n, rows.schema[n].dataType) for n in names], T.StructField("tokens", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in extra]])
     counted = rows.mapInArrow(count, schema)
     return counted.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "tokens", *extra)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from screeline.llm import queries, residue
+from screeline.llm.hashed import codes
 from screeline.llm.linear import Rows, fit
 from screeline.llm.leakage import ItemIndex, LeakRule, find_leaks, leaks
 from screeline.llm.mixture import draw, drawn_report, mixture_plan, plan_report, rake
 from screeline.llm.tokens import with_tokens
-from screeline.llm.topics import k_means
+from screeline.llm.topics import DIMS, k_means, learn_topics, packed_words
 
 ITEM = "Skipping the ramp at Zemnulork Point means tilted bergschrund, followed by seventy metres of drained ground facing Brypith Tower in slush before noon."
 WORDS = ITEM.split()
@@ -150,6 +151,43 @@ def test_topics_part_texts_by_their_words():
     assert k_means([], 3).of(["snow"]) == ["none"] and len(set(k_means(["same words"] * 9, 3).of(["same words"]))) == 1
 
 
+def test_topics_are_those_of_all_texts(spark):
+    """Each text's centre, the mean of all texts of its topic, is the nearest."""
+    rng = np.random.default_rng(0)
+    kinds = [[a + b for b in ("al", "en", "is", "or", "un", "ath", "eck", "ill")] for a in "bcdfgk"]
+    rows = [(i, " ".join([*rng.choice(kinds[i % 6], 4), *rng.choice(kinds[int(rng.integers(6))], 3)]), "en", "a") for i in range(6_000)]
+    rows += [(20_000 + i, rows[0][1], "en", "a") for i in range(1_500)] + [(30_000, None, "en", "a"), (30_001, "??", "en", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    target = spark.createDataFrame([("a", 1.0, 2.0)], "source string, target_share double, max_repeats double")
+    one = {r.doc: r.topic for r in mixture_plan(d.repartition(7), target)[0].collect()}
+    assert one.pop(30_000) == one.pop(30_001) == "none" and len(one) == 7_500
+    known = {w: i for i, w in enumerate(sorted({w for k in kinds for w in k}))}
+    assert len(set(codes(list(known)) % DIMS)) == len(known)
+    x = np.zeros((7_500, len(known)))
+    for i, (_, text, *_) in enumerate(rows[:7_500]):
+        x[i, [known[w] for w in text.split()]] = 1
+    x *= np.log(7_501 / x.sum(0))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    topic = np.array([one[i] for i, *_ in rows[:7_500]])
+    names = sorted(set(topic))
+    centres = np.array([x[topic == t].mean(0) for t in names])
+    near = x @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T
+    assert len(names) == 8 and (near[np.arange(7_500), np.searchsorted(names, topic)] >= near.max(1) - 1e-6).all()
+    assert len(set(topic[6_000:])) == 1
+
+
+def test_topics_of_a_table_are_those_of_a_list(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["snow", "ice", "rope", "bus", "gate", "mud", "fox", "hut"], 3)) for _ in range(300)] + [None, "", "snow " * 40_000]
+    table = spark.createDataFrame([(w,) for w in packed_words(texts)], "words binary")
+    want = k_means(texts, 4)
+    assert len(want.centres) == 4 and all(np.array_equal(want.centres, learn_topics(table.repartition(n), "words", 4).centres) for n in (1, 5))
+    assert learn_topics(table.limit(0), "words", 4).of(["snow"]) == ["none"]
+    assert want.of(["rope snow"]) == want.of(["rope rope rope snow"])
+    with pytest.raises(RuntimeError):
+        k_means(texts, 4, rounds=1)
+
+
 def test_reachable_is_read_from_the_raked_weights(spark):
     d = spark.createDataFrame([(i, "word " * 10, "en", "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, lang string, source string")
     for repeats, reached in ((2.0, False), (4.0, True)):
